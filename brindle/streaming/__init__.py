@@ -1,0 +1,2 @@
+"""Streaming: the engine's sources are bounded files and its capability list
+has no unbounded operator, so this package holds none."""
