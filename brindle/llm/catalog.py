@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import packing, rules, sharding
+from brindle.llm import bpe, dualtree, lattice, packing, pii, rules, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2,
+    "op3_byte_bpe": bpe.op3,
     "op4_quality_rules": rules.op4,
+    "op5_pii": pii.op5,
+    "op6_secrets": secrets.op6,
+    "op7_top_k": dualtree.op7,
+    "op8_lm_scores": lattice.op8,
     "op9_packing": packing.op9,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_top_k": dualtree.ORACLE}
