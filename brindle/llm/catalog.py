@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, dualtree, lattice, packing, pii, rules, secrets, sharding
+from brindle.llm import bpe, dualtree, lattice, neardup, packing, pii, rules, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": neardup.op1,
     "op2_sharding": sharding.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_quality_rules": rules.op4,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9,
 }
 
-ORACLE: dict[str, str] = {"op7_top_k": dualtree.ORACLE}
+ORACLE: dict[str, str] = {"op1_ngram_join": neardup.ORACLE, "op7_top_k": dualtree.ORACLE}
