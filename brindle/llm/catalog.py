@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, dualtree, lattice, neardup, packing, pii, rules, secrets, sharding
+from brindle.llm import bpe, crf, dualtree, lattice, neardup, packing, pii, rules, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": neardup.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_top_k": dualtree.op7,
     "op8_lm_scores": lattice.op8,
     "op9_packing": packing.op9,
+    "op10_quality_classifier": crf.op10,
 }
 
 ORACLE: dict[str, str] = {"op1_ngram_join": neardup.ORACLE, "op7_top_k": dualtree.ORACLE}

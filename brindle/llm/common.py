@@ -62,3 +62,12 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str, bucket_ro
 def worker_cache() -> dict:
     """A dictionary that lives as long as the worker process, for vocabularies."""
     return sys.modules.setdefault("_brindle_worker", types.ModuleType("_brindle_worker")).__dict__
+
+
+def carried(docs: DataFrame, columns: list[str], made: list[str]) -> tuple[DataFrame, list[str], int]:
+    """What a per-document operator sends to Python: ``columns`` but those it
+    makes itself, their names, and where the text is (last, if not among them)."""
+    keep = [c for c in columns if c not in made]
+    text = F.col("text").cast("string")
+    sent = docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [text.alias("__text")]))
+    return sent, keep, keep.index("text") if "text" in keep else len(keep)

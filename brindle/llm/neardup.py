@@ -158,7 +158,8 @@ def bounds(key: np.ndarray) -> np.ndarray:
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    """Bits that are set; numpy would count those of a negative's magnitude."""
+    return np.bitwise_count(x.view(np.uint64) if x.dtype == np.int64 else x).astype(np.int64)
 
 
 def middle(sig: np.ndarray, n: np.ndarray) -> int:
@@ -331,6 +332,22 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return linked.unionAll(rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the one with the smallest
+    id, one row of it. Rows that are linked with nothing stay, also those
+    without an id. Only texts whose id falls into the cell of one that goes, or
+    that comes twice, are shuffled."""
+    found = written(join(docs, words, percent), "near-found")
+    goes = found.where("doc_id <> component_id").select("doc_id")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    cell = lambda c: F.coalesce(F.pmod(F.xxhash64(c.cast("long")), F.lit(CELLS)).cast("int"), F.lit(-1))
+    touched = goes.unionAll(twice).select(cell(F.col("doc_id")).alias("__cell")).distinct()  # CELLS numbers at most
+    marked = docs.withColumn("__cell", F.when(F.col("doc_id").isNull(), -1).otherwise(cell(F.col("doc_id"))))
+    clear = marked.join(F.broadcast(touched), "__cell", "left_anti").drop("__cell")
+    unclear = marked.join(F.broadcast(touched), "__cell", "left_semi").drop("__cell").join(goes.distinct(), "doc_id", "left_anti")
+    return clear.select(*docs.columns).unionAll(unclear.dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir), words=4, percent=85)
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, small_batches
+from brindle.llm.common import carried, documents, small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -121,18 +121,18 @@ def judge(docs: DataFrame, columns: list[str], bands: Bands = Bands(), base: Bas
     """
     small_batches(docs.sparkSession)
     figures = [f.split()[0] for f in FIGURES.split(", ")]
-    keep = [c for c in columns if c not in figures]
+    sent, keep, at = carried(docs, columns, figures)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             found = list(zip(*(measure(t.as_py(), bands, base, z) for t in texts), strict=True)) or [()] * len(figures)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [*keep, *figures])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [*keep, *figures])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [FIGURES])
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.select(*[F.col(f"`{c}`") for c in keep]).schema] + [FIGURES])
+    return sent.mapInArrow(run, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
