@@ -19,6 +19,7 @@ def test_kinds_and_formats(spark):
     texts = [
         "card 4539 1488 0343 6467, again 4539148803436467 but 4539148803436468 is none", "+1 (555) 010-4477 and 555-010-4477.", "is.43@mail2.example.com from", "IP 192.168.7.44, not 999.1.1.1 nor 1.2.3",
         "born 1984-02-29, 31/12/1999 and 30.06.2001; not 1999-02-30 or 12/31/x", "ssn 123-45-6789 not 000-12-3456", "DE89 3704 0044 0532 0130 00 and DE00370400440532013000", "plain text 12 345 6", None, "",
+        "+44 20 7946 0958, +33 1 23 45 67 89 and +12 3 4",
     ]
     got = run(spark, texts)
     card = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}), again (\d{16}) but 4539148803436468 is none", got[0][0])
@@ -36,6 +37,7 @@ def test_kinds_and_formats(spark):
     plain = iban[1].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain != "DE89370400440532013000"
     assert got[7] == ("plain text 12 345 6", []) and got[8] == (None, []) and got[9] == ("", [])
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}, \+33 \d \d\d \d\d \d\d \d\d and \+12 3 4", got[10][0]) and "7946 0958" not in got[10][0] and got[10][1] == ["phone"] * 2
 
 
 def test_permutation_is_one_to_one(spark):
