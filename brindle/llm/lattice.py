@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,39 +170,78 @@ def score_words(words: DataFrame, path: str, counts: dict[int, int], ends: int)
     return words.select("word", "c", (F.col("c") + F.col("other")).alias("n")).mapInArrow(run, "word binary, c long, n long, score double")
 
 
-BLOCKS = "block long, word binary, local binary, times binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+#: Scores are added as multiples of 2**-SCALE: whole numbers, whose sum doesn't
+#: depend on the order of addition.
+SCALE = 34
+BLOCKS = "block long, word binary, local binary, times binary, doc_id long, held_out boolean, n_tokens long, n_known long, base long, score long"
 
 
-def in_blocks(docs: DataFrame, head: dict[bytes, tuple[bool, float, float]]) -> DataFrame:
+class Numbers(dict):
+    """word -> its number in the block; new words get the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def ragged(parts: np.ndarray, lengths: np.ndarray, width: int) -> pa.Array:
+    """An array of binaries from numbers of ``width`` bytes laid end to end."""
+    offsets = np.concatenate(([0], np.cumsum(lengths * width))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(parts.tobytes())])
+
+
+def laid_out(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse of ``ragged``: all numbers, and how many each row has."""
+    array = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int32)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
+
+
+def in_blocks(docs: DataFrame, head: dict[bytes, tuple[int, int, int]]) -> DataFrame:
     """Rows of two kinds: a document with what its frequent words add up to
-    (word null), and a block's other word with the documents it is in."""
+    (word null), and a block's other word with the documents it is in and,
+    unless it is always once, how often."""
     known = docs.sparkSession.sparkContext.broadcast(head)
     names = [x.split()[0] for x in BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known.value
-        task, serial = TaskContext.get().partitionId(), 0
+        frequent = {w: i for i, w in enumerate(known.value)}
+        values = np.array(list(known.value.values()), np.int64).reshape(-1, 3)
+        top = len(frequent)
+        task, serial, size = TaskContext.get().partitionId(), 0, 0
+        number = Numbers(frequent)
         held: list[tuple] = []
-        rare: dict[bytes, list[int]] = {}
-        size = 0
+        numbers: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal serial, size
+            nonlocal serial, size, number
             block = task << 32 | serial
             if held:
                 columns = [[block] * len(held), *[[None] * len(held)] * 3, *zip(*held, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-            words = list(rare)
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                nothing = [None] * len(some)
-                local = [np.array(rare[w][::2], np.uint16).tobytes() for w in some]
-                times = [np.array(rare[w][1::2], np.uint32).tobytes() if max(rare[w][1::2]) > 1 else b"" for w in some]
-                columns = [[block] * len(some), some, local, times, *[nothing] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-            held.clear()
-            rare.clear()
+                at, n = np.concatenate(numbers), np.concatenate(counts)
+                owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in numbers])
+                rare = at >= top
+                at, n, owner = at[rare] - top, n[rare], owner[rare]
+                order = np.argsort(at, kind="stable")
+                at, n, owner = at[order], n[order], owner[order]
+                words = list(number)[top:]
+                each = np.bincount(at, minlength=len(words))
+                often = np.zeros(len(words), bool)
+                often[at[n > 1]] = True
+                ends = np.concatenate(([0], np.cumsum(each)))
+                for lo in range(0, len(words), 50_000):
+                    hi = min(lo + 50_000, len(words))
+                    part, some = slice(ends[lo], ends[hi]), slice(lo, hi)
+                    nothing = [pa.nulls(hi - lo, k) for k in kinds[4:]]
+                    times = n[part][np.repeat(often[some], each[some])].astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, block)), pa.array(words[some], pa.binary()), ragged(owner[part], each[some], 2), ragged(times, each[some] * often[some], 4), *nothing], names)
+            for x in (held, numbers, counts):
+                x.clear()
+            number = Numbers(frequent)
             serial, size = serial + 1, 0
 
         for batch in batches:
@@ -211,21 +251,15 @@ def in_blocks(docs: DataFrame, head: dict[bytes, tuple[bool, float, float]]) ->
                     yield from flush()
                 size += len(text)
                 words = tokens(text)
-                me, n_known, base, score = len(held), 0, 0.0, 0.0
                 found = Counter(words)
                 found[b""] = 1
-                for w, n in found.items():
-                    got = frequent.get(w)
-                    if got is None:
-                        if (at := rare.get(w)) is None:
-                            rare[w] = [me, n]
-                        else:
-                            at += (me, n)
-                    else:
-                        n_known += n * got[0]
-                        base += n * got[1]
-                        score += n * got[2]
-                held.append((doc, out, len(words) + 1, n_known, base, score))
+                at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+                n = np.fromiter(found.values(), np.int64, len(found))
+                common = at < top
+                sums = n[common] @ values[at[common]]
+                numbers.append(at)
+                counts.append(n)
+                held.append((doc, out, len(words) + 1, *sums.tolist()))
         yield from flush()
 
     return docs.mapInArrow(run, BLOCKS)
@@ -235,19 +269,22 @@ def gather(rows: DataFrame, schema: str) -> DataFrame:
     """Add up each block's words into its documents."""
 
     def run(group: pa.Table) -> pa.Table:
-        is_doc = group.column("n_tokens").is_valid().to_numpy()
-        docs = group.filter(pa.array(is_doc))
-        words = group.filter(pa.array(~is_doc))
-        sums = [np.asarray(docs.column(c).to_numpy(), t).copy() for c, t in (("n_known", np.int64), ("base", float), ("score", float))]
+        is_doc = group.column("n_tokens").is_valid()
+        docs, words = group.filter(is_doc), group.filter(pa.compute.invert(is_doc))
+        sums = [docs.column(c).to_numpy().copy() for c in ("n_known", "base", "score")]
         if words.num_rows:
-            words = words.sort_by([("n_known", "ascending"), ("score", "ascending")])  # the same order of addition each time
-            local = words.column("local").to_pylist()
-            at = np.frombuffer(b"".join(local), np.uint16)
-            each = np.array([len(x) // 2 for x in local])
-            times = np.concatenate([np.frombuffer(t, np.uint32) if t else np.ones(n, np.uint32) for t, n in zip(words.column("times").to_pylist(), each.tolist(), strict=True)])
+            at, each = laid_out(words.column("local"), np.uint16)
+            some, given = laid_out(words.column("times"), np.uint32)
+            times = np.ones(len(at), np.int64)
+            times[np.repeat(given > 0, each)] = some
             for s, c in zip(sums, ("n_known", "base", "score"), strict=True):
-                s += np.bincount(at, np.repeat(words.column(c).to_numpy().astype(float), each) * times, len(s)).astype(s.dtype)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": docs.column("n_tokens"), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+                # whole numbers; two halves keep each sum exact in double precision
+                value = np.repeat(words.column(c).to_numpy(), each) * times
+                for shift in (0, 30):
+                    part = value & ((1 << 30) - 1) if shift == 0 else value >> 30
+                    s += np.bincount(at, part, len(s)).astype(np.int64) << shift
+        made = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(sums[0]), *(pa.array(x / 2**SCALE) for x in sums[1:])]
+        return pa.table(dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), made, strict=True)))
 
     return rows.groupBy("block").applyInArrow(run, schema)
 
@@ -268,9 +305,11 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     train, scale = seen["n"], seen["n"] + 0.5 * (seen["v"] + 1)
     end = words.where("octet_length(word) = 0").first()
     scored = written(score_words(words, path, piece_counts(words, path), end["c"] if end else 0), "lm-scored")
-    known = scored.select("word", (F.col("c") > 0).cast("long").alias("n_known"), F.log10((F.col("c") + 0.5) / F.lit(scale)).alias("base"), "score", "n")
+    fixed = lambda x: F.round(x * F.lit(float(2**SCALE))).cast("long")
+    base = F.log10((F.col("c") + 0.5) / F.lit(float(scale)))
+    known = scored.select("word", (F.col("c") > 0).cast("long").alias("n_known"), fixed(base).alias("base"), fixed(F.col("score")).alias("score"), "n")
     top = known.orderBy(F.desc("n"), "word").limit(head).collect()
-    frequent = {bytes(r["word"]): (bool(r["n_known"]), r["base"], r["score"]) for r in top}
+    frequent = {bytes(r["word"]): (r["n_known"], r["base"], r["score"]) for r in top}
     blocks = written(in_blocks(texts, frequent), "lm-blocks")
     asked = blocks.where("word IS NOT NULL").select("block", "word", "local", "times")
     answered = asked.join(known.drop("n"), "word").select("block", "local", "times", "n_known", "base", "score")
