@@ -46,25 +46,11 @@ def front_door(name: str, text: str, sql: str | None = None, tables: tuple[str,
 
 def money(e: Expression) -> Expression:
     """An exact decimal of a two-digit double."""
-    return Cast(e, "decimal(18,2)")
-
-
-class Cast(Expression):
-    def __init__(self, inner: Expression, kind: str):
-        self.inner, self.kind = inner, kind
-
-    def name(self) -> str:
-        return self.inner.name()
-
-    def bind(self, df: DataFrame):
-        return self.inner.bind(df).cast(self.kind)
-
-    def has_aggregate(self) -> bool:
-        return self.inner.has_aggregate()
+    return e.cast("decimal(18,2)")
 
 
 def double(e: Expression) -> Expression:
-    return Cast(e, "double")
+    return e.cast("double")
 
 
 D = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
@@ -351,7 +337,7 @@ def _(t):
 
 @fluent("join_key_widening", "SELECT c_custkey, n_name FROM customer JOIN (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation) ON c_nationkey = k")
 def _(t):
-    wide = t("nation").select(Cast(col("n_nationkey"), "bigint").alias("k"), col("n_name"))
+    wide = t("nation").select(col("n_nationkey").cast("bigint").alias("k"), col("n_name"))
     return t("customer").join(wide, "inner", ["c_nationkey"], ["k"]).select(col("c_custkey"), col("n_name"))
 
 

@@ -46,6 +46,10 @@ class Expression:
     def alias(self, name: str) -> Expression:
         return Alias(self, name)
 
+    def cast(self, kind: str) -> Expression:
+        """This value as a Spark type; the name stays."""
+        return Cast(self, kind)
+
     def eq(self, other) -> Expression:
         return binary(self, "=", other)
 
@@ -126,6 +130,21 @@ class Alias(Expression):
         return self.inner.has_aggregate()
 
 
+@dataclass(frozen=True)
+class Cast(Expression):
+    inner: Expression
+    kind: str
+
+    def name(self) -> str:
+        return self.inner.name()
+
+    def bind(self, df: DataFrame) -> Column:
+        return self.inner.bind(df).cast(self.kind)
+
+    def has_aggregate(self) -> bool:
+        return self.inner.has_aggregate()
+
+
 @dataclass(frozen=True)
 class Binary(Expression):
     left: Expression

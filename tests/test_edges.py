@@ -84,3 +84,21 @@ def test_plans(spark):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_literal_widths_and_casts(spark):
+    f = frame(spark, [(1,)], "v int")
+    out = f.select(lit(1, "i8").alias("a"), lit(1, "u16").alias("b"), lit(1, "u64").alias("c"), lit(1.5, "f32").alias("d"), lit(True).alias("e"), lit("x").alias("g"), col("v").cast("double").alias("h"))
+    assert [c.dataType.simpleString() for c in out.schema] == ["tinyint", "int", "decimal(20,0)", "float", "boolean", "string", "double"]
+    assert binary(col("v"), "+", 1).name() == "v + 1" and sum_(col("v") * 2).name() == "SUM(v * 2)"
+
+
+def test_many_rows_agree_with_a_plain_loop(spark):
+    data = [(i % 7 if i % 11 else None, i % 3, (i * 37) % 101 - 50 if i % 5 else None) for i in range(3000)]
+    f = frame(spark, data, "k int, j int, v int")
+    got = {(r[0], r[1]): tuple(r)[2:] for r in f.aggregate([col("k"), col("j")], [count(col("v")), sum_(col("v")), min_(col("v")), max_(col("v"))]).collect()}
+    for key in {(k, j) for k, j, _ in data}:
+        values = [v for k, j, v in data if (k, j) == key and v is not None]
+        assert got[key] == (len(values), sum(values) if values else None, min(values, default=None), max(values, default=None))
+    ordered = [r[0] for r in f.order_by(sort(col("v"), False)).select(col("v")).collect()]
+    assert ordered == [None] * ordered.count(None) + sorted((v for v in ordered if v is not None), reverse=True)
