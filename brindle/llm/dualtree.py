@@ -20,51 +20,61 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import spread, written
 
-LEAF = 48
+LEAF = 128
+#: Children of a node at most.
+FAN = 48
 #: Sums below this are whole in double precision.
 EXACT = 2.0**52
 
 
 class CoverTree:
-    """Nodes as parallel lists; ``points`` are rows of x in the order of leaves."""
+    """Nodes as parallel lists; a node's rows are its points.
+
+    A node's children are centers picked one by one, each the row farthest from
+    those before, until all rows are within half the node's radius or as
+    many are there as give children of half a leaf's rows, FAN at most (in many
+    dimensions half the radius would take nearly every row); a row belongs to its nearest center.
+    """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
         self.x = x
+        self.square = (x * x).sum(1)
         self.center: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
         self.points: list[np.ndarray] = []
-        self.root = self.grow(np.arange(len(x)), 0, leaf)
-
-    def grow(self, rows: np.ndarray, center: int, leaf: int) -> int:
-        stack: list[tuple[np.ndarray, int, int]] = [(rows, center, -1)]
-        first = len(self.center)
+        self.root = 0
+        stack: list[tuple[np.ndarray, int, int]] = [(np.arange(len(x)), 0, -1)]
         while stack:
             rows, center, parent = stack.pop()
-            away = np.sqrt(((self.x[rows] - self.x[center]) ** 2).sum(1))
+            y, square = x[rows], self.square[rows]
+            away = self.from_center(y, square, center)
             me, radius = len(self.center), float(away.max())
             self.center.append(center)
-            self.radius.append(radius)
+            self.radius.append(radius * (1 + 1e-9) + 1e-6)
             self.children.append([])
             self.points.append(rows)
             if parent >= 0:
                 self.children[parent].append(me)
             if len(rows) <= leaf or radius == 0:
                 continue
-            # a net of half the radius: each time the row farthest from all centers becomes one
             owner, centers = np.zeros(len(rows), np.int64), [center]
-            while away.max() > radius / 2:
-                pick = int(away.argmax())
-                d = np.sqrt(((self.x[rows] - self.x[rows[pick]]) ** 2).sum(1))
+            fan = min(FAN, max(2, 2 * len(rows) // leaf))
+            while len(centers) < fan and away.max() > radius / 2:
+                pick = int(rows[int(away.argmax())])
+                d = self.from_center(y, square, pick)
                 closer = d < away
                 owner[closer], away[closer] = len(centers), d[closer]
-                centers.append(int(rows[pick]))
-            order = np.argsort(owner, kind="stable")
-            for part in np.split(rows[order], np.cumsum(np.bincount(owner, minlength=len(centers)))[:-1]):
-                if len(part):
-                    stack.append((part, centers[int(owner[np.flatnonzero(rows == part[0])[0]])], me))
-            self.points[me] = rows
-        return first
+                centers.append(pick)
+            for i in range(len(centers)):
+                part = rows[owner == i]
+                if 0 < len(part) < len(rows):
+                    stack.append((part, centers[i], me))
+
+    def from_center(self, y: np.ndarray, square: np.ndarray, center: int) -> np.ndarray:
+        """Distances of rows from a row; rounding can't make one too short by
+        more than the slack that radii have."""
+        return np.sqrt(np.maximum(square - 2 * (y @ self.x[center]) + self.square[center], 0) + 1e-12 * (square + self.square[center]))
 
 
 class Best:
