@@ -42,9 +42,10 @@ def widened(schema: T.StructType) -> T.StructType:
 
 def infer_schema(spark: SparkSession, path: str, options: CsvReadOptions) -> T.StructType:
     """The schema that the header and the first ``infer_rows`` records suggest."""
-    head = [r[0] for r in spark.read.text(path).limit(options.infer_rows + 1).collect()]
-    sample = spark.createDataFrame([(x,) for x in head], "value string").coalesce(1)
-    return widened(options.reader(spark).option("inferSchema", True).csv(sample.rdd.map(lambda r: r[0])).schema)
+    lines = spark.read.text(path).limit(options.infer_rows + 1)
+    as_text = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = options.reader(spark).option("inferSchema", True)
+    return widened(DataFrame(reader._jreader.csv(as_text), spark).schema)
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvReadOptions | None = None) -> DataFrame:
