@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import written
+from brindle.llm.common import discard, written
 
 
 def hand_over(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = hand_over(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = hand_over(large)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        edges, before = written(small, "links"), edges
+        discard(before)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

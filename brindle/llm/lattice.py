@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, small_batches, worker_cache, written
+from brindle.llm.common import discard, documents, small_batches, worker_cache, written
 
 #: Most frequent words that every task knows; the only ones that are broadcast.
 HEAD = 16_384
@@ -305,6 +305,7 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     train, scale = seen["n"], seen["n"] + 0.5 * (seen["v"] + 1)
     end = words.where("octet_length(word) = 0").first()
     scored = written(score_words(words, path, piece_counts(words, path), end["c"] if end else 0), "lm-scored")
+    discard(words)
     fixed = lambda x: F.round(x * F.lit(float(2**SCALE))).cast("long")
     base = F.log10((F.col("c") + 0.5) / F.lit(float(scale)))
     known = scored.select("word", (F.col("c") > 0).cast("long").alias("n_known"), fixed(base).alias("base"), fixed(F.col("score")).alias("score"), "n")

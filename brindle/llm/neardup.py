@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import shingles
-from brindle.llm.common import documents, small_batches, written
+from brindle.llm.common import discard, documents, small_batches, written
 from brindle.llm.components import components
 
 #: Cells of the sketch of frequent shingles, and how many cells are passed on.
@@ -42,6 +42,9 @@ REMEMBERED = 500_000
 CELLS = 1 << 19
 #: Members of a tile that stand for the others when its middle is looked for.
 SPREAD = 48
+#: Rows of a tile that a task holds; larger ones are read in runs, and in the
+#: second round dealt to blocks, each pair of blocks a tile of its own.
+TILE = 20_000
 #: Rows of a tile that are compared at once in the second round.
 BLOCK = 2048
 
@@ -52,8 +55,8 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def frequent_cells(docs: DataFrame, k: int) -> list[tuple[int, int]]:
-    """(cell, count) of the sketch's fullest cells. A task reports a cell that
+def frequent_cells(docs: DataFrame, k: int) -> list[int]:
+    """The sketch's fullest cells, fullest first. A task reports a cell that
     far more of its texts fall into than chance explains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +71,7 @@ def frequent_cells(docs: DataFrame, k: int) -> list[tuple[int, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells[at], pa.int64())], ["cell", "n"])
 
     rows = texts(docs).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return [(r["cell"], r["n"]) for r in rows.orderBy(F.desc("n"), "cell").limit(FREQUENT).collect()]
+    return [r["cell"] for r in rows.orderBy(F.desc("n"), "cell").limit(FREQUENT).collect()]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -99,16 +102,14 @@ def folded(a: np.ndarray, size: int) -> np.ndarray:
 SETS = "doc_id long, n long, h long, prefix array<long>, sig64 long, sig binary"
 
 
-def posted(docs: DataFrame, k: int, percent: int, cells: list[tuple[int, int]]) -> DataFrame:
+def posted(docs: DataFrame, k: int, percent: int, cells: list[int]) -> DataFrame:
     """Each document's set size and class; with the prefix and bitmaps where
     the task sees the class first."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells)  # FREQUENT at most
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(cells, np.int64))  # FREQUENT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(SKETCH, np.int64)
-        if shared.value:
-            at, n = zip(*shared.value, strict=True)
-            weight[list(at)] = n
+        weight = np.zeros(SKETCH, np.int32)
+        weight[shared.value[::-1]] = np.arange(1, len(shared.value) + 1)  # the fullest is the heaviest
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -132,9 +133,10 @@ def posted(docs: DataFrame, k: int, percent: int, cells: list[tuple[int, int]])
     return texts(docs).mapInArrow(run, SETS)
 
 
-def tiles(keyed: DataFrame, schema: str, work) -> DataFrame:
+def tiles(keyed: DataFrame, schema: str, work, most: int | None = None) -> DataFrame:
     """Deal rows to tasks by ``key``, in order of key, n, h, and hand ``work``
-    whole tiles: a run of rows as arrays by column, with the tiles' bounds."""
+    whole tiles: a run of rows as arrays by column. With ``most``, a tile of
+    more rows comes in several runs."""
     names = keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,9 @@ def tiles(keyed: DataFrame, schema: str, work) -> DataFrame:
             rows = part if rest is None else [np.concatenate(x) for x in zip(rest, part, strict=True)]
             key = rows[0]
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last tile may go on
-            rest = [c[last:] for c in rows]
+            cut = most is not None and len(key) - last > most
+            last = len(key) if cut else last
+            rest = [c[last - cut :] for c in rows]  # the next run of a tile has this run's last row
             if last:
                 yield from work(dict(zip(names, (c[:last] for c in rows), strict=True)))
         if rest is not None and len(rest[0]):
@@ -176,7 +180,8 @@ MEMBERS = "key long, n long, h long, pos long, sig64 long, lead long"
 
 def members(sets: DataFrame, percent: int) -> DataFrame:
     """The rows of tiles with two classes or more, and each one's lead: the
-    middle row of those within the size ratio (null: it is that itself)."""
+    middle row of those within the size ratio (null: it is that itself). A tile
+    of more than TILE rows has a middle for each run of them."""
     rows = sets.where("prefix IS NOT NULL").select("n", "h", "sig64", F.posexplode("prefix").alias("pos", "key"))
     rows = rows.select("key", "n", "h", F.col("pos").cast("long").alias("pos"), "sig64")
 
@@ -202,7 +207,18 @@ def members(sets: DataFrame, percent: int) -> DataFrame:
                 at = stop
         yield pa.RecordBatch.from_arrays([*(pa.array(t[c], pa.int64()) for c in ("key", "n", "h", "pos", "sig64")), pa.array(lead, pa.int64(), mask=none)], [x.split()[0] for x in MEMBERS.split(", ")])
 
-    return tiles(rows, MEMBERS, work)
+    return tiles(rows, MEMBERS, work, TILE)
+
+
+def undecided(marked: DataFrame) -> DataFrame:
+    """Rows of tiles that still hold different labels; a tile of more than TILE
+    rows becomes one for each pair of its blocks."""
+    seen = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    rows = marked.join(seen.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(part).alias("key"), "n", "h", "pos", "sig64", "label")
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +311,9 @@ def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     one, two = arrays.select(F.col("h").alias("a"), F.col("members").alias("ma")), arrays.select(F.col("h").alias("b"), F.col("members").alias("mb"))
-    return some.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
+    links = written(some.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long"), "near-links")
+    discard(some, asked, arrays)
+    return links
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -305,8 +323,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     A text of fewer than ``words`` words is one shingle; a null, empty or blank
     text has none and links with nothing. Repeated rows and equal sets are one
-    class and each come back. A row without an id links with nothing and has no
-    component. An empty table gives no rows. Only doc_id and text are read.
+    class and each come back. Ids are taken for unique: rows that share one go
+    each by its own text, and classes with the same smallest id are one. A row
+    without an id links with nothing and has no component. An empty table gives
+    no rows. Only doc_id and text are read.
     """
     small_batches(docs.sparkSession)
     sets = written(posted(docs, words, percent, frequent_cells(docs, words)), "near-sets")
@@ -316,17 +336,20 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tiled = written(members(sets, percent), "near-tiles")
     small_batches(docs.sparkSession)
     stars = tiled.where("lead IS NOT NULL").select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b")).distinct()
-    first = written(exact(stars, classes, docs, words, percent), "near-links")
+    first = exact(stars, classes, docs, words, percent)
     label = components(first)
     small_batches(docs.sparkSession, 50_000)
     marked = tiled.join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "n", "h", "pos", "sig64", F.coalesce("label", "h").alias("label"))
-    others = written(across(marked, percent), "near-pairs")
+    others = written(across(undecided(marked), percent), "near-pairs")
     small_batches(docs.sparkSession)
+    discard(tiled)
     second = exact(others, classes, docs, words, percent)
-    final = components(first.unionAll(second))
-    homes = classes.select("h", "rep").join(final.withColumnRenamed("node", "h"), "h", "left").select("h", "rep", F.coalesce("label", "h").alias("label"))
-    least = homes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    homes = homes.join(least, "label").select("h", "component_id")
+    # from here on a class goes by its smallest document, so a component's label is the answer
+    name = classes.select(F.col("h").alias("a"), F.col("rep").alias("x"))
+    links = first.unionAll(second).join(name, "a").join(name.toDF("b", "y"), "b").select("x", "y")
+    final = components(links, "x", "y")
+    discard(first, second, others)
+    homes = classes.select("h", F.col("rep").alias("node")).join(final, "node", "left").select("h", F.coalesce("label", "node").alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "h")
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(homes, "h").select("doc_id", "n_shingles", "component_id")
     return linked.unionAll(rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

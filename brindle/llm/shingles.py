@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts are worked on in runs of about so many bytes.
-RUN = 4_000_000
+RUN = 1_000_000
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)

@@ -84,6 +84,15 @@ def test_planted(spark, k, percent):
     assert found(df, k, percent) == slow(rows, k, percent)
 
 
+def test_large_tiles_come_in_parts(spark, monkeypatch):
+    put = neardup.small_batches
+    monkeypatch.setattr(neardup, "TILE", 7)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "small_batches", lambda spark, rows=3: put(spark, 5))
+    rows = planted()
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70) == slow(rows, 3, 70)
+
+
 def test_odd_rows(spark, odd, none):
     assert found(odd, 4, 85) == slow(texts_of(odd), 4, 85)
     assert neardup.join(none).collect() == []
