@@ -33,6 +33,12 @@ HINT = "[@0-9]"
 ANY = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, CARD, PHONE))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; a column used in several
+    places, or in another function's loop, would be worked out each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def noise(key: str, tag: str, i: Column, x: Column) -> Column:
     """A keyed pseudorandom whole number below 2**48."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), x.cast("string")), 256), 1, 12), 16, 10).cast("long")
@@ -60,16 +66,24 @@ def ten_to(n: Column) -> Column:
 
 def permute_digits(key: str, tag: str, digits: Column) -> Column:
     """A string of 2 to 36 digits as another of the same length."""
-    n = F.length(digits)
-    h = F.floor(n / 2).cast("int")
-    made = feistel(key, tag, F.substr(digits, F.lit(1), h), F.substr(digits, h + 1, n - h), ten_to(h), ten_to(n - h))
-    return F.concat(F.lpad(made["l"].cast("string"), h, "0"), F.lpad(made["r"].cast("string"), n - h, "0"))
+
+    def halves(d: Column) -> Column:
+        n = F.length(d)
+        h = F.floor(n / 2).cast("int")
+        pair = feistel(key, tag, F.substr(d, F.lit(1), h), F.substr(d, h + 1, n - h), ten_to(h), ten_to(n - h))
+        return let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), h, "0"), F.lpad(p["r"].cast("string"), n - h, "0")))
+
+    return let(digits, halves)
 
 
 def refill(value: Column, digits: Column) -> Column:
     """``value`` with its digits, in order, replaced by ``digits``."""
-    step = lambda acc, c: F.struct(F.concat(acc["out"], F.when(c.rlike("[0-9]"), F.substr(digits, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("k"))
-    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda acc: acc["out"])
+
+    def fill(d: Column) -> Column:
+        step = lambda acc, c: F.struct(F.concat(acc["out"], F.when(c.rlike("[0-9]"), F.substr(d, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("k"))
+        return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda acc: acc["out"])
+
+    return let(digits, fill)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -85,7 +99,8 @@ def luhn_sum(digits: Column) -> Column:
 def new_card(key: str, value: Column) -> Column:
     digits = digits_of(value)
     body = permute_digits(key, "card", F.substr(digits, F.lit(1), F.length(digits) - 1))
-    return refill(value, F.concat(body, F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
+    check = lambda x: F.pmod(F.lit(10) - luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")
+    return refill(value, let(body, lambda x: F.concat(x, check(x))))
 
 
 def mod97(letters_and_digits: Column) -> Column:
@@ -107,12 +122,14 @@ def new_iban(key: str, value: Column) -> Column:
     """The account's digits permuted, letters kept, check digits worked out."""
     v = F.replace(value, F.lit(" "), F.lit(""))
     land, account = F.substr(v, F.lit(1), F.lit(2)), F.substr(v, F.lit(5))
-    digits = digits_of(account)
-    body = F.when(F.length(digits) >= 2, refill(account, permute_digits(key, "iban", digits))).otherwise(account)
-    check = F.lpad((F.lit(98) - mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0")
-    plain = F.concat(land, check, body)
-    step = lambda acc, c: F.struct(F.concat(acc["out"], F.when(c == " ", c).otherwise(F.substr(plain, acc["k"] + 1, F.lit(1)))).alias("out"), (acc["k"] + F.when(c == " ", 0).otherwise(1)).alias("k"))
-    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda acc: acc["out"])
+    body = let(account, lambda a: F.when(F.length(digits_of(a)) >= 2, refill(a, permute_digits(key, "iban", digits_of(a)))).otherwise(a))
+    check = lambda x: F.lpad((F.lit(98) - mod97(F.concat(x, land, F.lit("00")))).cast("string"), 2, "0")
+
+    def space(plain: Column) -> Column:
+        step = lambda acc, c: F.struct(F.concat(acc["out"], F.when(c == " ", c).otherwise(F.substr(plain, acc["k"] + 1, F.lit(1)))).alias("out"), (acc["k"] + F.when(c == " ", 0).otherwise(1)).alias("k"))
+        return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step, lambda acc: acc["out"])
+
+    return let(let(body, lambda x: F.concat(land, check(x), x)), space)
 
 
 def octets(value: Column) -> Column:
@@ -124,9 +141,8 @@ def ip_valid(value: Column) -> Column:
 
 
 def new_ip(key: str, value: Column) -> Column:
-    o = octets(value)
-    made = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
-    return F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.call_function("div", made[h], F.lit(256)), made[h] % 256)])
+    pair = let(octets(value), lambda o: feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536)))
+    return let(pair, lambda p: F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.call_function("div", p[h], F.lit(256)), p[h] % 256)]))
 
 
 def ssn_valid(value: Column) -> Column:
@@ -138,10 +154,9 @@ def new_ssn(key: str, value: Column) -> Column:
     part = F.split(value, "-")
     area, group, serial = (part[i].cast("int") for i in range(3))
     left = area - F.when(area > 666, 2).otherwise(1)
-    made = feistel(key, "ssn", left, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999))
-    new_area = made["l"] + F.when(made["l"] >= 665, 2).otherwise(1)
+    pair = feistel(key, "ssn", left, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999))
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.concat_ws("-", pad(new_area, 3), pad(F.call_function("div", made["r"], F.lit(9999)) + 1, 2), pad(made["r"] % 9999 + 1, 4))
+    return let(pair, lambda p: F.concat_ws("-", pad(p["l"] + F.when(p["l"] >= 665, 2).otherwise(1), 3), pad(F.call_function("div", p["r"], F.lit(9999)) + 1, 2), pad(p["r"] % 9999 + 1, 4)))
 
 
 def as_date(value: Column) -> tuple[Column, Column]:
@@ -159,12 +174,15 @@ def date_valid(value: Column) -> Column:
 
 
 def new_date(key: str, value: Column) -> Column:
+    first = F.lit("1800-01-01").cast("date")
     d, kind = as_date(value)
-    n = F.datediff(d, F.lit("1800-01-01").cast("date"))
-    made = feistel(key, "date", F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B))
-    new = F.date_add(F.lit("1800-01-01").cast("date"), (made["l"] * DAYS_B + made["r"]).cast("int"))
-    y, m, day = F.lpad(F.year(new).cast("string"), 4, "0"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
-    return F.when(kind == "yyyy-MM-dd", F.concat_ws("-", y, m, day)).when(kind == "dd/MM/yyyy", F.concat_ws("/", day, m, y)).when(kind == "MM/dd/yyyy", F.concat_ws("/", m, day, y)).otherwise(F.concat_ws(".", day, m, y))
+    pair = let(F.datediff(d, first), lambda n: feistel(key, "date", F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B)))
+
+    def written_as(new: Column) -> Column:
+        y, m, day = F.lpad(F.year(new).cast("string"), 4, "0"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
+        return F.when(kind == "yyyy-MM-dd", F.concat_ws("-", y, m, day)).when(kind == "dd/MM/yyyy", F.concat_ws("/", day, m, y)).when(kind == "MM/dd/yyyy", F.concat_ws("/", m, day, y)).otherwise(F.concat_ws(".", day, m, y))
+
+    return let(let(pair, lambda p: F.date_add(first, (p["l"] * DAYS_B + p["r"]).cast("int"))), written_as)
 
 
 def new_phone(key: str, value: Column) -> Column:
