@@ -15,15 +15,22 @@ from brindle.llm import crf, neardup, packing, pii, rules
 from brindle.llm.common import written
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text under names no stage uses."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)])
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier takes for good."""
-    scored = crf.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    plain = aside(docs)
+    scored = crf.classify(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"), plain.columns)
+    return scored.where("predicted = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the word rules and the compression bands."""
-    return rules.judge(docs, docs.columns).where("kept").select(*docs.columns)
+    plain = aside(docs)
+    return rules.judge(plain, plain.columns).where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars is counted anew."""
-    changed = pii.replace_personal(docs).select(*docs.columns)
+    plain = aside(docs)
+    changed = pii.replace_personal(plain).select(*plain.columns).toDF(*docs.columns)
     return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
 
 

@@ -16,6 +16,15 @@ def test_stages(spark, sf):
     assert {p.doc_id for p in pieces} == kept[3]
 
 
+def test_odd_columns_come_through(spark, odd, none, sf):
+    docs = odd.withColumnsRenamed({"size": "score", "shard": "kept", "rank": "pii"})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema["kept"].dataType.simpleString() == "string"
+        assert all((r["score"], r["kept"], r["pii"]) == (9, "clash", 0) for r in out.collect())
+        assert stage(spark, none, sf).collect() == []
+
+
 def test_registered():
     names = entries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
