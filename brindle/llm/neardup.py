@@ -42,9 +42,11 @@ REMEMBERED = 500_000
 CELLS = 1 << 19
 #: Members of a tile that stand for the others when its middle is looked for.
 SPREAD = 48
-#: Rows of a tile that a task holds; larger ones are read in runs, and in the
-#: second round dealt to blocks, each pair of blocks a tile of its own.
-TILE = 20_000
+#: Rows of a tile that a task holds at once in the first round.
+HELD = 20_000
+#: Rows of an undecided tile; a larger one is dealt to blocks, and each pair of
+#: blocks is a tile of its own, so that several tasks share it.
+TILE = 1000
 #: Rows of a tile that are compared at once in the second round.
 BLOCK = 2048
 
@@ -181,7 +183,7 @@ MEMBERS = "key long, n long, h long, pos long, sig64 long, lead long"
 def members(sets: DataFrame, percent: int) -> DataFrame:
     """The rows of tiles with two classes or more, and each one's lead: the
     middle row of those within the size ratio (null: it is that itself). A tile
-    of more than TILE rows has a middle for each run of them."""
+    of more than HELD rows has a middle for each run of them."""
     rows = sets.where("prefix IS NOT NULL").select("n", "h", "sig64", F.posexplode("prefix").alias("pos", "key"))
     rows = rows.select("key", "n", "h", F.col("pos").cast("long").alias("pos"), "sig64")
 
@@ -207,7 +209,7 @@ def members(sets: DataFrame, percent: int) -> DataFrame:
                 at = stop
         yield pa.RecordBatch.from_arrays([*(pa.array(t[c], pa.int64()) for c in ("key", "n", "h", "pos", "sig64")), pa.array(lead, pa.int64(), mask=none)], [x.split()[0] for x in MEMBERS.split(", ")])
 
-    return tiles(rows, MEMBERS, work, TILE)
+    return tiles(rows, MEMBERS, work, HELD)
 
 
 def undecided(marked: DataFrame) -> DataFrame:

@@ -87,6 +87,7 @@ def test_planted(spark, k, percent):
 def test_large_tiles_come_in_parts(spark, monkeypatch):
     put = neardup.small_batches
     monkeypatch.setattr(neardup, "TILE", 7)
+    monkeypatch.setattr(neardup, "HELD", 7)
     monkeypatch.setattr(neardup, "BLOCK", 5)
     monkeypatch.setattr(neardup, "small_batches", lambda spark, rows=3: put(spark, 5))
     rows = planted()
