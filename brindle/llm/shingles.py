@@ -61,12 +61,14 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def of_words(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words."""
+    """Hashes of all runs of k words; each step multiplies and folds, so that
+    no arrangement of the same words cancels out."""
     n = len(words) - k + 1
     out = np.zeros(max(0, n), np.uint64)
     if n > 0:
         for j in range(k):
-            out += words[j : j + n] * U((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1) | 1)
+            out = (out + words[j : j + n]) * U(0xD6E8FEB86659FD93)
+            out ^= out >> U(32)
     return mix(out, k + 1)
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -119,6 +120,13 @@ def test_sets(texts, k):
             assert len(np.intersect1d(made[i], made[j])) == len(a & b)
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6])
+def test_arrangements_of_the_same_words_differ(k):
+    runs = list(itertools.product(["the", "and", "of"], repeat=k))
+    text = " x ".join(" ".join(r) for r in runs)
+    assert len(shingles.sets([text], k)[0]) == len(shingle_set(text, k))
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(3)
     for _ in range(200):
