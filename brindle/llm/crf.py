@@ -28,7 +28,7 @@ SAMPLE_LINES = 300
 RIDGE = 2.0
 STEPS = 60
 #: Documents are worked on in groups of at most so many padded lines.
-PADDED = 1_000_000
+PADDED = 300_000
 
 FEATURES = ("one", "length", "upper", "digit", "symbol", "bang", "pipe", "other_mark", "word_length", "same_words", "same_pairs", "said_before", "ends_sentence", "few_words", "starts_upper")
 CLASSES = ("upper", "lower", "digit", "symbol", "bang", "pipe", "mark", "space", "wide")
