@@ -32,12 +32,12 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, and
     later passes don't compute it anew when an executor is lost."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     made = spark.read.schema(df.schema).parquet(path)
     made._scratch = path
     return made

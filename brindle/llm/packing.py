@@ -80,11 +80,12 @@ def cuts(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:
     return [*out, rest] if rest else out
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, klass int"
+PIECES = "doc_id long, start long, length long, mark long, doc_tokens long, klass int, ids binary"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, least: int = LEAST, ids: bool = False) -> DataFrame:
-    """Tokenize documents and cut them. With ``ids`` each piece carries its ids."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
+    """Tokenize documents and cut them. Each piece carries its ids; ``mark``, a
+    checksum of them, parts pieces of equal places in the order of numbering."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,39 +99,40 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
                 for length in cuts(len(got), capacity, least):
                     raw = got[start : start + length].tobytes()
                     rows.append((doc, start, length, zlib.crc32(raw), len(got), capacity // length))
-                    if ids:
-                        kept.append(raw)
+                    kept.append(raw)
                     start += length
             columns = list(zip(*rows, strict=True)) or [()] * 6
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.int32())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "klass"]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * ids, names + ["ids"] * ids)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
-    """Pack documents; one row for each piece with its sequence and offset.
+    """Pack documents; one row for each piece with its sequence, its offset
+    there and its ids (little-endian, four bytes each): a sequence's rows, in
+    order of offset, are the packed sequence. ids_crc32 is that of the ids.
 
     A null or empty text is the end id alone; repeated rows are packed as
     often as they occur; an empty table gives no rows; texts of any length
     are cut; only doc_id and text are read. A sequence's id is bin * capacity
     + class - 1.
     """
-    cut = written(pieces(docs, vocabulary, end_id, capacity, least), "pack-pieces")
-    placed = numbered(cut, ["klass"], ["doc_id", "start", "ids_crc32", "length"], "rank")
+    cut = written(pieces(docs, vocabulary, end_id, capacity, least), "pack-pieces", "zstd")
+    placed = numbered(cut, ["klass"], ["doc_id", "start", "mark", "length"], "rank")
     k = F.col("klass").cast("long")
     placed = placed.withColumn("sequence_id", F.floor(F.col("rank") / k) * capacity + k - 1)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "ids"]
     # a class of one fixed length needs no meeting of a sequence's pieces: full ones and exact powers above the tails
     fixed = (F.col("length") > least) & (F.col("klass") * F.col("length") == capacity)
     regular = placed.where(fixed).select(*names, ((F.col("rank") % k) * F.col("length")).alias("offset"))
     order = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     others = placed.where(~fixed).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).select(*names, "offset")
-    return regular.unionAll(others)
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids"]
+    return regular.unionAll(others).select(*columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

@@ -68,6 +68,21 @@ def test_odd(odd, none):
     assert packing.pack(none, FILE).collect() == []
 
 
+def test_sequences_hold_the_tokens(odd):
+    texts = {r.doc_id: r.text or "" for r in odd.select("doc_id", "text").collect()}
+    sequences = defaultdict(list)
+    for r in packing.pack(odd, FILE).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert ids == [*ENCODE(texts[r.doc_id]), 0][r.start : r.start + r.length] and zlib.crc32(r.ids) == r.ids_crc32
+        sequences[r.sequence_id].append((r.offset, ids))
+    for found in sequences.values():
+        packed = []
+        for offset, ids in sorted(found):
+            assert offset == len(packed)
+            packed += ids
+        assert 0 < len(packed) <= 1024
+
+
 def test_cuts():
     for n in range(3000):
         assert sum(packing.cuts(n)) == n and all(0 < x <= 1024 for x in packing.cuts(n))
