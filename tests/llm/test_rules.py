@@ -41,6 +41,32 @@ def test_bands(spark):
     assert {r.doc_id: r.kept for r in rules.judge(rows, ["doc_id"]).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_incompressible_text_fails_at_each_length(spark):
+    rng = random.Random(5)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    printable = "".join(map(chr, range(33, 127)))
+    vocabulary = ["".join(rng.choices("eeeetttaaooiinnsshrrdllucmfpgwybvk", k=rng.randint(2, 9))) for _ in range(1500)]
+
+    def of(alphabet, size):  # 50 words or more
+        out = ""
+        while len(out) < size:
+            out += "".join(rng.choices(alphabet, k=rng.randint(4, 8 if size < 600 else 14))) + " "
+        return out[:size]
+
+    def prose(size):
+        return " ".join(rng.choices(vocabulary, [1 / (i + 3) for i in range(1500)], k=size))[:size]
+
+    sizes = (390, 590, 790, 990, 1400, 2000, 2048, 3000, 3900, 8000, 16_000, 50_000)
+    noise = [of(a, n) for n in sizes for a in (base64, printable)]
+    mixed = [prose(n // 2) + " " + of(base64, n // 2) for n in (4000, 8000, 16_000, 22_000, 60_000)]
+    clean = [prose(n) for n in sizes]
+    rows = spark.createDataFrame(list(enumerate([*noise, *mixed, *clean])), "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in rules.judge(rows, ["doc_id"]).collect()}
+    first = len(noise) + len(mixed)
+    assert not any(kept[i] for i in range(first)), [i for i in range(first) if kept[i]]
+    assert all(kept[first + i] for i in range(len(clean))), [n for i, n in enumerate(sizes) if not kept[first + i]]
+
+
 def test_odd(odd, none):
     rows = rules.judge(odd, odd.columns).collect()
     assert len(rows) == odd.count() and set(odd.columns) <= set(rows[0].asDict())
