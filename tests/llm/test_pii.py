@@ -40,6 +40,26 @@ def test_kinds_and_formats(spark):
     assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}, \+33 \d \d\d \d\d \d\d \d\d and \+12 3 4", got[10][0]) and "7946 0958" not in got[10][0] and got[10][1] == ["phone"] * 2
 
 
+def test_numbers_followed_by_words_and_digits(spark):
+    ibans = ["BE68 5390 0754 7034", "ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", "PL61 1090 1014 0000 0712 1981 2874", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"]
+    phones = ["+44 20 7946 0958", "+49 89 1234 5678", "+33 1 23 45 67 89"]
+    after = ["", " EUR", " BIC", " 2024", " A", " AB 12", " BANK", " 1984 0101", " EUR 100 2024 TOTAL"]
+    texts = [f"to {x}{y}" for x in ibans for y in after]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        x, y = ibans[i // len(after)], after[i % len(after)]
+        new, kinds = got[i]
+        assert kinds == ["iban"] and new.startswith("to ") and new.endswith(y) and len(new) == len(t), (t, new)
+        plain = new[3 : 3 + len(x)].replace(" ", "")
+        assert plain != x.replace(" ", "") and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    followed = [f"call {p}{y}" for p in phones for y in (" 20240 1234 5678", " 2024-01-02", " 12345 67890", " 31/12/1999", " EUR", "")]
+    for i, (new, kinds) in run(spark, followed).items():
+        assert kinds and kinds[0] == "phone" and phones[i // 6] not in new, (followed[i], new)
+        assert len(new) == len(followed[i]) and kinds == ["phone", "date"] if "-" in followed[i] or "/" in followed[i] else kinds == ["phone"], (followed[i], new)
+    many = run(spark, ["BE68 5390 0754 7034 AT611904300234573201 ES9121000418450200051332 2024"])[0]
+    assert many[1] == ["iban"] * 3 and many[0].endswith(" 2024")
+
+
 def test_permutation_is_one_to_one(spark):
     n = 4000
     digits = spark.range(n).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).where("length(d) = 4")
