@@ -58,6 +58,27 @@ def test_entropy_is_the_highest_of_all_windows(spark):
         assert r.h == pytest.approx(max(entropy(r.v[i : i + 20]) for i in range(max(1, len(r.v) - 19))), abs=1e-9)
 
 
+ALPHABETS = {
+    "hex": "0123456789abcdef", "mixed hex": "0123456789abcdefABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower base32": "abcdefghijklmnopqrstuvwxyz234567", "one case": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "both cases": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def test_share_found_by_class_and_length(spark):
+    rng, of = random.Random(17), 150
+    kinds = [(a, n) for a in ALPHABETS for n in (20, 32, 64)]
+    texts = ["key " + "".join(rng.choices(ALPHABETS[a], k=n)) + " end" for a, n in kinds for _ in range(of)]
+    got = run(spark, texts)
+    for j, (a, n) in enumerate(kinds):
+        share = sum(any(k in (2, 3) for _, k, _ in got[i]) for i in range(j * of, (j + 1) * of)) / of
+        assert share >= (0.88 if n == 20 else 0.95), (a, n, share)
+
+
+def test_names_are_no_keys(spark):
+    names = ["getElementsByTagNameAndClass", "AbstractSingletonProxyFactoryBean", "number_of_training_documents", "a-long-slug-for-an-article-in-2024", "550e8400-e29b-41d4-a716-446655440000"]
+    assert not any(run(spark, names).values())
+
+
 def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in secrets.op6(spark, sf).collect():
