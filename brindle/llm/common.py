@@ -59,10 +59,11 @@ def spread(columns: list[Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], out: str, bucket_rows: int = 50_000, least: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str, bucket_rows: int = 50_000, least: int = 64, part: str | None = None) -> DataFrame:
     """A gapless number from 0 within each value of ``by``, without bringing a
     value's rows together: rows are dealt to buckets, numbered within
-    (value, bucket), and moved on by the sizes of the buckets before."""
+    (value, bucket), and moved on by the sizes of the buckets before. ``part``
+    is the name by which the bucket stays: a run of numbers for each."""
     buckets = max(least, -(-df.count() // bucket_rows))
     dealt = df.withColumn("__bucket", spread([F.col(c) for c in order], buckets))
     sizes = dealt.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -70,7 +71,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str, bucket_ro
     sizes = sizes.select(*by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*by, "__bucket").orderBy(*order)
     placed = dealt.withColumn("__at", F.row_number().over(within) - 1)
-    return placed.join(sizes, [*by, "__bucket"]).withColumn(out, (F.col("__at") + F.col("__before")).cast("long")).drop("__bucket", "__at", "__before")
+    placed = placed.join(sizes, [*by, "__bucket"]).withColumn(out, (F.col("__at") + F.col("__before")).cast("long"))
+    return (placed.withColumnRenamed("__bucket", part) if part else placed.drop("__bucket")).drop("__at", "__before")
 
 
 def worker_cache() -> dict:

@@ -6,17 +6,19 @@ shards is cut along its widest metadata dimension at the weighted quantile
 that gives each side its share of the bytes; for two, four, eight shards that
 is the weighted median. Quantiles come from histograms that are summed on the
 executors and refined; the driver sees at most ``BINS`` counts a node and
-round, and the tree itself. A document's shard is one SQL expression.
+round, and the tree itself. A document's shard is one SQL expression. The
+documents themselves move twice: to their text's shard, and to their slot.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, numbered, written
+from brindle.llm.common import documents, numbered, scratch, written
 
 BINS = 4096
 #: A cut is final when the bin that it falls into holds at most this share of the node.
@@ -42,8 +44,8 @@ class Node:
         return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the text's identity and dimensions."""
+def metadata(docs: DataFrame, *others: Column | str) -> DataFrame:
+    """doc_id, size, text_crc32 and the text's identity and dimensions; and others."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     return docs.select(
@@ -52,6 +54,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("mark"),
         F.length(text).cast("long").alias("chars"),
+        *others,
     )
 
 
@@ -145,14 +148,18 @@ def build(rows: DataFrame, target_bytes: int) -> Node:
     return root
 
 
+#: Documents of a part of a shard, on average.
+PART_ROWS = 50_000
+
+
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """Deal documents to shards of nearly equal bytes.
 
-    Returns doc_id, size, text_crc32, shard and slot (from 0, gapless within a
-    shard). Give the number of shards or the bytes of one. Copies of a text
+    Returns doc_id, size, text_crc32, shard, slot (from 0, gapless within a
+    shard), part (a run of slots) and document: a struct of all columns of
+    docs. Give the number of shards or the bytes of one. Copies of a text
     share a shard. A null text counts as empty (size 1); repeated rows each
-    get a slot; an empty table gives no rows; only doc_id and text are read,
-    whatever other columns are called.
+    get a slot; an empty table gives no rows; columns may have any names.
     """
     meta = written(metadata(docs), "shard-meta")
     rows = written(groups(meta), "shard-groups")
@@ -163,10 +170,29 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     number(root)
     # a group's third dimension is its first document's place, so its shard is looked up by identity
     placed = rows.select("mark", "text_crc32", "size", "chars", leaf(root).cast("int").alias("shard"))
-    dealt = written(meta.join(placed, ["mark", "text_crc32", "size", "chars"]).select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
-    return numbered(dealt, ["shard"], ["doc_id", "text_crc32"], "slot")
+    whole = metadata(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    dealt = whole.join(placed, ["mark", "text_crc32", "size", "chars"]).select("doc_id", "size", "text_crc32", "document", "shard")
+    return numbered(dealt, ["shard"], ["doc_id", "text_crc32"], "slot", PART_ROWS, 4, "part")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int | None = None, target_bytes: int | None = None) -> None:
+    """Write each shard to ``path``: shard=S/part=P holds documents (all
+    columns, in ``document``) with their slots in order, and the parts of a
+    shard, by number, follow each other in order of slot."""
+    out = shard(docs, shards, target_bytes).select("slot", "document", "shard", "part")
+    out.sortWithinPartitions("shard", "part", "slot").write.partitionBy("shard", "part").parquet(path, compression="zstd")
+
+
+def read_shards(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """What write_shards has written of ``docs``: slot, document, shard, part."""
+    document = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
+    return spark.read.schema(f"slot long, document struct<{document}>, shard int, part int").parquet(path)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard(documents(spark, sf_dir), shards=8)
+    docs = documents(spark, sf_dir)
+    path = f"{scratch(spark)}/brindle-shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, shards=8)
+    kept = read_shards(spark, path, docs).select("document.doc_id", "document.text", "shard", "slot")
+    out = metadata(kept, "shard", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

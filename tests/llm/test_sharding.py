@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import pyarrow.parquet as pq
+
 from brindle.llm import sharding
 
 
@@ -32,3 +34,23 @@ def test_three_shards(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', CAST(id % 40 AS INT)) || id AS text")
     sums = [r[0] for r in sharding.shard(docs, shards=3).groupBy("shard").sum("size").select("sum(size)").collect()]
     assert len(sums) == 3 and max(sums) - min(sums) < 0.02 * sum(sums)
+
+
+def test_documents_are_written_to_their_shards_in_order(spark, odd, none, sf, tmp_path):
+    for name, docs in (("odd", odd), ("sf", spark.read.parquet(f"{sf}/documents.parquet"))):
+        path = tmp_path / name
+        sharding.write_shards(docs, str(path), shards=4)
+        slots, back = defaultdict(list), []
+        folders = [f for f in path.glob("shard=*/part=*")]
+        for folder in sorted(folders, key=lambda f: (f.parent.name, int(f.name.split("=")[1]))):
+            files = list(folder.glob("*.parquet"))
+            assert len(files) == 1
+            for row in pq.ParquetFile(files[0]).read().to_pylist():
+                slots[folder.parent.name].append(row["slot"])
+                back.append(tuple(row["document"].values()))
+        assert all(s == list(range(len(s))) for s in slots.values())
+        assert sorted(back, key=str) == sorted(map(tuple, docs.collect()), key=str)
+        read = sharding.read_shards(spark, str(path), docs).select("document.*")
+        assert read.schema == docs.schema and read.exceptAll(docs).count() == 0 == docs.exceptAll(read).count()
+    sharding.write_shards(none, str(tmp_path / "none"), shards=4)
+    assert sharding.read_shards(spark, str(tmp_path / "none"), none).collect() == []
