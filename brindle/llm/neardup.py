@@ -17,7 +17,8 @@ arrays, which decides.
 A first round links each tile's members with its middle one, the member most
 like a spread of the others. The second round looks at all pairs that the
 first has left in different components, so groups of many copies cost a star
-and not all their pairs, and no link between components is lost.
+and not all their pairs, and no link between components is lost. Then the links
+within components are counted, class by class.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ HELD = 20_000
 TILE = 1000
 #: Rows of a tile that are compared at once in the second round.
 BLOCK = 2048
+#: Classes of a component, and members of their sets, that make a block when links are counted.
+LINKED = 500
+LINKED_MEMBERS = 400_000
+#: Members that a product of incidence matrices takes at once.
+COLUMNS = 2048
 
 U = np.uint64
 
@@ -286,10 +292,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that link: bitmaps first, then the intersection of sorted arrays."""
-    some = written(plausible(pairs, classes, percent), "near-plausible")
-    asked = written(some.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "rep"), "h"), "near-asked")
+def sorted_arrays(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """h and members of the classes asked for (h, rep), written."""
     cell = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(CELLS)).cast("int").alias("cell")
     cells = asked.select(F.col("rep").alias("doc_id")).select(cell).distinct()  # CELLS numbers at most
 
@@ -299,7 +303,14 @@ def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(s) if len(s) else 0 for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "h", "members"])
 
     wanted = texts(docs).select("*", cell).join(F.broadcast(cells), "cell", "left_semi").select("doc_id", "text")
-    arrays = written(wanted.mapInArrow(run, "rep long, h long, members binary").join(asked, ["rep", "h"]).dropDuplicates(["h"]).select("h", "members"), "near-arrays")
+    return written(wanted.mapInArrow(run, "rep long, h long, members binary").join(asked, ["rep", "h"]).dropDuplicates(["h"]).select("h", "members"), "near-arrays")
+
+
+def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that link: bitmaps first, then the intersection of sorted arrays."""
+    some = written(plausible(pairs, classes, percent), "near-plausible")
+    asked = written(some.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "rep"), "h"), "near-asked")
+    arrays = sorted_arrays(asked, docs, k)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,10 +329,78 @@ def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent
     return links
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead
-    to) of every document; two documents link when the Jaccard of their
-    shingle sets is at least ``percent``.
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many members each set of x shares with each of y: products of
+    incidence matrices, COLUMNS members at a time (whole numbers below 2**24)."""
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = (np.cumsum(times > 1) - 1)[at]
+    shared = times[at] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[row[part], column[part] - first] = 1
+        out += (holds[x] @ holds[y].T).astype(np.int64)
+    return out
+
+
+def link_counts(homes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """h and n_links: with how many documents of other classes each class links.
+
+    All links are within components (homes: h, rep, n, copies, component_id).
+    Two classes that make one are linked; in a larger one all pairs of classes
+    are decided, by sorted arrays. Its classes are dealt to blocks, and a task
+    gets each pair of blocks and gives counts, no pairs."""
+    size = homes.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.sum("copies").alias("all"), (F.min("rep") != F.max("rep")).alias("apart"))
+    sized = homes.join(size.where("size > 1"), "component_id")
+    two = (F.col("size") == 2) & F.col("apart")  # else they only share an id
+    blocks = F.greatest(F.ceil(F.col("size") / LINKED), F.ceil(F.col("total") / LINKED_MEMBERS)).cast("int")
+    larger = written(sized.where(~two).select("h", "rep", "n", "copies", "component_id", blocks.alias("blocks")), "near-larger")
+    arrays = sorted_arrays(larger.select("h", "rep"), docs, k)
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    rows = larger.join(arrays, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64("component_id", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(part.alias("key"), "n", "h", "component_id", "own", "other", "copies", "members")
+
+    def work(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # two tiles whose keys collide are told apart by what the keys were made of
+        low, high = np.minimum(t["own"], t["other"]), np.maximum(t["own"], t["other"])
+        order = np.lexsort((high, low, t["component_id"], t["key"]))
+        t = {c: x[order] for c, x in t.items()} | {"low": low[order], "high": high[order]}
+        new = np.zeros(len(order), bool)
+        for c in ("component_id", "low", "high"):
+            new[1:] |= t[c][1:] != t[c][:-1]
+        edge = bounds(np.cumsum(new))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            n, h, own, copies = (t[c][lo:hi].astype(np.int64) for c in ("n", "h", "own", "copies"))
+            low, high = t["low"][lo], t["high"][lo]
+            x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            if not len(x) or not len(y):
+                continue
+            sets = [np.frombuffer(m, np.uint64) for m in t["members"][lo:hi]]
+            overlap = overlaps(sets, x, y)
+            ok = 100 * overlap >= percent * (n[x][:, None] + n[y][None, :] - overlap)
+            if low == high:
+                np.fill_diagonal(ok, False)
+            counts = [(h[x], ok @ copies[y])] + [(h[y], copies[x] @ ok)] * bool(low != high)
+            for who, links in counts:
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(links, pa.int64())], ["h", "n_links"])
+
+    inside = tiles(rows, "h long, n_links long", work).groupBy("h").agg(F.sum("n_links").alias("n_links"))
+    found = written(inside.unionAll(sized.where(two).select("h", (F.col("all") - F.col("copies")).alias("n_links"))), "near-counts")
+    discard(larger, arrays)
+    return found
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead
+    to) and n_links (the number of other documents it links with) of every
+    document; two documents link when the Jaccard of their shingle sets is at
+    least ``percent``. Without ``count`` n_links is null.
 
     A text of fewer than ``words`` words is one shingle; a null, empty or blank
     text has none and links with nothing. Repeated rows and equal sets are one
@@ -333,7 +412,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     small_batches(docs.sparkSession)
     sets = written(posted(docs, words, percent, frequent_cells(docs, words)), "near-sets")
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "near-classes")
+    classes = written(known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "near-classes")
     small_batches(docs.sparkSession, 50_000)
     tiled = written(members(sets, percent), "near-tiles")
     small_batches(docs.sparkSession)
@@ -351,10 +430,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = first.unionAll(second).join(name, "a").join(name.toDF("b", "y"), "b").select("x", "y")
     final = components(links, "x", "y")
     discard(first, second, others)
-    homes = classes.select("h", F.col("rep").alias("node")).join(final, "node", "left").select("h", F.coalesce("label", "node").alias("component_id"))
+    homes = classes.select("h", F.col("rep").alias("node"), "n", "copies").join(final, "node", "left").select("h", F.col("node").alias("rep"), "n", "copies", F.coalesce("label", "node").alias("component_id"))
+    links = F.lit(None).cast("long")
+    if count:
+        homes = written(homes, "near-homes")
+        homes = homes.join(link_counts(homes, docs, words, percent), "h", "left")
+        links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "h")
-    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(homes, "h").select("doc_id", "n_shingles", "component_id")
-    return linked.unionAll(rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(homes.select("h", "component_id", links.alias("n_links")), "h").select("doc_id", "n_shingles", "component_id", "n_links")
+    alone = F.lit(0 if count else None).cast("long").alias("n_links")
+    return linked.unionAll(rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), alone))
 
 
 def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -362,7 +447,7 @@ def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     id, one row of it. Rows that are linked with nothing stay, also those
     without an id. Only texts whose id falls into the cell of one that goes, or
     that comes twice, are shuffled."""
-    found = written(join(docs, words, percent), "near-found")
+    found = written(join(docs, words, percent, count=False), "near-found")
     goes = found.where("doc_id <> component_id").select("doc_id")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     cell = lambda c: F.coalesce(F.pmod(F.xxhash64(c.cast("long")), F.lit(CELLS)).cast("int"), F.lit(-1))
@@ -374,7 +459,7 @@ def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir), words=4, percent=85)
+    return join(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

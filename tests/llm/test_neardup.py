@@ -44,6 +44,22 @@ def found(df, k, percent):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.join(df, k, percent).collect()), key=str)
 
 
+def slow_links(rows, k, percent):
+    sets = [(d, shingle_set(t, k)) for d, t in rows]
+    links = lambda i, j: i != j and sets[j][0] is not None and 100 * len(sets[i][1] & sets[j][1]) >= percent * len(sets[i][1] | sets[j][1])
+    return sorted(((d, sum(links(i, j) for j in range(len(sets))) if s and d is not None else 0) for i, (d, s) in enumerate(sets)), key=str)
+
+
+@pytest.mark.parametrize("block", [500, 9])
+def test_links_are_counted_within_components(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(neardup, "LINKED", block)
+    same_id = [(7, "one two three four five six"), (7, "other words that have nothing in common"), (8, "one two three four five six"), (None, "one two three four five six")]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string") for rows in ((planted(), same_id) if block == 500 else (planted(),))]
+    for df in tables + [odd] * (block == 500):
+        got = sorted(((r.doc_id, r.n_links) for r in neardup.join(df, 4, 85).collect()), key=str)
+        assert got == slow_links(texts_of(df), 4, 85)
+
+
 def texts_of(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
