@@ -445,17 +445,24 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, count: bool = True)
 def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one with the smallest
     id, one row of it. Rows that are linked with nothing stay, also those
-    without an id. Only texts whose id falls into the cell of one that goes, or
-    that comes twice, are shuffled."""
-    found = written(join(docs, words, percent, count=False), "near-found")
-    goes = found.where("doc_id <> component_id").select("doc_id")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    cell = lambda c: F.coalesce(F.pmod(F.xxhash64(c.cast("long")), F.lit(CELLS)).cast("int"), F.lit(-1))
-    touched = goes.unionAll(twice).select(cell(F.col("doc_id")).alias("__cell")).distinct()  # CELLS numbers at most
-    marked = docs.withColumn("__cell", F.when(F.col("doc_id").isNull(), -1).otherwise(cell(F.col("doc_id"))))
-    clear = marked.join(F.broadcast(touched), "__cell", "left_anti").drop("__cell")
-    unclear = marked.join(F.broadcast(touched), "__cell", "left_semi").drop("__cell").join(goes.distinct(), "doc_id", "left_anti")
-    return clear.select(*docs.columns).unionAll(unclear.dropDuplicates(["doc_id"]).select(*docs.columns))
+    without an id; rows that share an id go each by its own text. Only texts
+    whose id and text fall into the cell of one that goes, or that comes
+    twice, are shuffled."""
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = docs.withColumn("__own", own)
+    found = written(join(keyed.select(F.col("__own").alias("doc_id"), "text"), words, percent, count=False).where("doc_id IS NOT NULL"), "near-found")
+    ids = keyed.where("__own IS NOT NULL").select(F.col("__own").alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
+    places = found.select("doc_id", "component_id").distinct().join(ids, "doc_id")
+    best = places.groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("stays"))
+    goes = written(places.join(best, "component_id").where("doc_id <> stays").select(F.col("doc_id").alias("__own")), "near-goes")
+    twice = found.groupBy(F.col("doc_id").alias("__own")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__own")
+    cell = F.coalesce(F.pmod(F.xxhash64("__own"), F.lit(CELLS)).cast("int"), F.lit(-1)).alias("__cell")
+    touched = goes.unionAll(twice).select(cell).distinct()  # CELLS numbers at most
+    marked = keyed.select("*", cell)
+    clear = marked.join(F.broadcast(touched), "__cell", "left_anti")
+    unclear = marked.join(F.broadcast(touched), "__cell", "left_semi").join(goes, "__own", "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return clear.select(*columns).unionAll(unclear.dropDuplicates(["__own"]).select(*columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

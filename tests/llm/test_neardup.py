@@ -125,6 +125,13 @@ def test_one_stays(spark):
     assert sorted(r.doc_id for r in neardup.without_copies(df, 5, 80).collect()) == sorted({c for _, _, c in slow(rows, 5, 80)})
 
 
+def test_rows_that_share_an_id_go_by_their_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "quite another text without any link to it"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "lone words of number three here"), (2, "second text of number two is alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([rows[0], rows[1], rows[4], rows[5]])
+    assert sorted(tuple(r) for r in neardup.without_copies(df, 5, 80).collect()) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aB c\n\té", max_size=40), max_size=5), st.integers(1, 4))
 def test_sets(texts, k):
