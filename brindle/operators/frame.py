@@ -105,8 +105,9 @@ class Frame:
         return self.df.toArrow()
 
     @translated
-    def show(self, rows: int = 20) -> None:
-        self.df.show(rows, truncate=False)
+    def show(self, rows: int | None = None) -> None:
+        """Prints all rows, or the first ``rows``."""
+        self.df.show(2**31 - 1 if rows is None else rows, truncate=False)
 
     def explain(self, mode: str = "formatted") -> str:
         from brindle.plans import explain

@@ -102,3 +102,11 @@ def test_many_rows_agree_with_a_plain_loop(spark):
         assert got[key] == (len(values), sum(values) if values else None, min(values, default=None), max(values, default=None))
     ordered = [r[0] for r in f.order_by(sort(col("v"), False)).select(col("v")).collect()]
     assert ordered == [None] * ordered.count(None) + sorted((v for v in ordered if v is not None), reverse=True)
+
+
+def test_show_prints_all_rows(spark, capsys):
+    Frame(spark.range(1000, 1045).toDF("id")).show()
+    shown = capsys.readouterr().out
+    assert all(str(i) in shown for i in range(1000, 1045)) and "only showing" not in shown
+    Frame(spark.range(1000, 1045).toDF("id")).show(3)
+    assert "1002" in (shown := capsys.readouterr().out) and "1003" not in shown
