@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, small_batches, worker_cache
+from brindle.llm.common import documents, runs, worker_cache
 
 #: Encoded pre-tokens that a worker remembers, in each of two generations.
 REMEMBERED = 300_000
@@ -160,11 +160,9 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     rows are encoded each; an empty table gives no rows; only doc_id and text
     are read. Special tokens' strings are ordinary text.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, to_bytes = codec(path, pattern)
-        for batch in batches:
+        for batch in runs(batches, 1):
             ids = [to_ids(t.as_py() or "") for t in batch.column(1)]
             columns = [batch.column(0), pa.array(ids, pa.binary())]
             if decoded:
@@ -176,11 +174,9 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and decoded bytes of rows with ids; null ids decode to nothing."""
-    small_batches(rows.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, to_bytes = codec(path, pattern)
-        for batch in batches:
+        for batch in runs(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_bytes(x.as_py() or b"") for x in batch.column(1)], pa.binary())], ["doc_id", "decoded"])
 
     return rows.select(F.col("doc_id").cast("long"), F.col("ids").cast("binary")).mapInArrow(run, "doc_id long, decoded binary")

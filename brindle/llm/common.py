@@ -7,17 +7,31 @@ import shutil
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of an Arrow batch that goes to a Python worker; keeps a batch of very
-#: long texts within a worker's memory.
-BATCH_ROWS = 512
+#: A run of rows that a Python worker looks at together: at most so many, of so
+#: many bytes of text (or one row). Spark itself bounds a batch by its bytes.
+RUN_ROWS = 512
+RUN_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def runs(batches: Iterator[pa.RecordBatch], column: int, rows: int = RUN_ROWS, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs, without copying; ``column`` holds the texts."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def scratch(spark: SparkSession) -> str:
@@ -81,9 +95,16 @@ def worker_cache() -> dict:
 
 
 def carried(docs: DataFrame, columns: list[str], made: list[str]) -> tuple[DataFrame, list[str], int]:
-    """What a per-document operator sends to Python: ``columns`` but those it
-    makes itself, their names, and where the text is (last, if not among them)."""
+    """What a per-document operator sends to Python, under plain names that no
+    column's own can clash with: ``columns`` but those it makes itself, their
+    real names, and where the text is (last, if not among them)."""
     keep = [c for c in columns if c not in made]
     text = F.col("text").cast("string")
-    sent = docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [text.alias("__text")]))
+    sent = docs.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(keep)], *([] if "text" in keep else [text.alias("_text")]))
     return sent, keep, keep.index("text") if "text" in keep else len(keep)
+
+
+def mapped(sent: DataFrame, keep: list[str], run, figures: str) -> DataFrame:
+    """``run`` over what ``carried`` sends; its columns come back under their real names."""
+    made = T.StructType.fromDDL(figures)
+    return sent.mapInArrow(run, T.StructType(sent.schema.fields[: len(keep)] + made.fields)).toDF(*keep, *made.names)

@@ -34,5 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(before)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            made = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            made._scratch = edges._scratch  # for discard()
+            return made
         state = tuple(seen)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import carried, documents, small_batches
+from brindle.llm.common import carried, documents, mapped, runs
 
 #: The sample: at most so many labelled documents, of at most so many lines.
 SAMPLE = 4000
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, 2):
             found = featured(batch, 2)
             keep = pa.array([len(w) <= sample_lines for _, w in found], pa.bool_())
             made = [batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([w.astype(np.float64).tobytes() for _, w in found], pa.binary())]
@@ -290,17 +290,16 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], threshold:
     Columns named score or predicted give way.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels))  # some fifty numbers
     sent, keep, at = carried(docs, columns, ["score", "predicted"])
+    names = [*(f"_{i}" for i in range(len(keep))), "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, at):
             score = model.value.scores(featured(batch, at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.select(*[F.col(f"`{c}`") for c in keep]).schema] + ["score double", "predicted int"])
-    return sent.mapInArrow(run, schema)
+    return mapped(sent, keep, run, "score double, predicted int")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

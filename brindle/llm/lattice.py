@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, documents, small_batches, worker_cache, written
+from brindle.llm.common import discard, documents, runs, worker_cache, written
 
 #: Most frequent words that every task knows; the only ones that are broadcast.
 HEAD = 16_384
@@ -62,7 +62,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 s.clear()
             return pa.RecordBatch.from_arrays(columns, ["word", "c", "other"])
 
-        for batch in batches:
+        for batch in runs(batches, 1):
             for text, out in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = seen[bool(out)]
                 found.update(tokens(text.as_py()))
@@ -244,7 +244,7 @@ def in_blocks(docs: DataFrame, head: dict[bytes, tuple[int, int, int]]) -> DataF
             number = Numbers(frequent)
             serial, size = serial + 1, 0
 
-        for batch in batches:
+        for batch in runs(batches, 1):
             for doc, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 if held and (size + len(text) > BLOCK_BYTES or len(held) >= BLOCK_DOCS):
@@ -298,7 +298,6 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     training rows all words are unknown; only doc_id and text are read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = with_split(docs)
     words = written(count_words(texts), "lm-words")
     seen = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

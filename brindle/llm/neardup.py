@@ -23,6 +23,7 @@ within components are counted, class by class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import shingles
-from brindle.llm.common import discard, documents, small_batches, written
+from brindle.llm.common import discard, documents, runs, written
 from brindle.llm.components import components
 
 #: Cells of the sketch of frequent shingles, and how many cells are passed on.
@@ -50,6 +51,8 @@ HELD = 20_000
 TILE = 1000
 #: Rows of a tile that are compared at once in the second round.
 BLOCK = 2048
+#: Pairs of a class that a task decides.
+HUB = 2000
 #: Classes of a component, and members of their sets, that make a block when links are counted.
 LINKED = 500
 LINKED_MEMBERS = 400_000
@@ -69,7 +72,7 @@ def frequent_cells(docs: DataFrame, k: int) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n, total = np.zeros(SKETCH, np.int32), 0, 0
-        for batch in batches:
+        for batch in runs(batches, 1):
             found = shingles.sets([t.as_py() for t in batch.column(1)], k)
             for s in found:
                 cells[(s & U(SKETCH - 1)).astype(np.int64)] += 1  # a text counts once a cell
@@ -107,35 +110,47 @@ def folded(a: np.ndarray, size: int) -> np.ndarray:
     return a
 
 
-SETS = "doc_id long, n long, h long, prefix array<long>, sig64 long, sig binary"
+SETS = "doc_id long, n long, h long, prefix array<long>, hot int, sig64 long, sig binary"
+
+
+def band(n: int, percent: int) -> int:
+    """A size's band; sizes within the ratio are in one band or in neighbouring ones."""
+    return 1 + int(math.log(n) / (math.log(100 / percent) * (1 + 1e-9)))
 
 
 def posted(docs: DataFrame, k: int, percent: int, cells: list[int]) -> DataFrame:
     """Each document's set size and class; with the prefix and bitmaps where
-    the task sees the class first."""
+    the task sees the class first. The prefix's ``hot`` last members are in the
+    sketch's fullest cells; after the prefix come the keys of their tiles, which
+    are one a size band: first of the set's own, then of the band below."""
     shared = docs.sparkSession.sparkContext.broadcast(np.array(cells, np.int64))  # FREQUENT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(SKETCH, np.int32)
         weight[shared.value[::-1]] = np.arange(1, len(shared.value) + 1)  # the fullest is the heaviest
         seen: set[int] = set()
-        for batch in batches:
+        for batch in runs(batches, 1):
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for doc, s in zip(ids, shingles.sets([t.as_py() for t in batch.column(1)], k), strict=True):
                 n = len(s)
                 h = set_hash(s) if n else 0
                 if not n or doc is None or h in seen:
-                    rows.append((n, h, None, None, None))
+                    rows.append((n, h, None, None, None, None))
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(h)
                 w = weight[(s & U(SKETCH - 1)).astype(np.int64)]
-                first = (s[np.lexsort((s, w))] if w.any() else s)[: prefix_length(n, percent)]
-                rows.append((n, h, first.view(np.int64), int(bitmap(s, 64).view(np.int64)[0]), bitmap(s, band_bits(n)).tobytes()))
-            n, h, prefix, sig64, sig = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig64, pa.int64()), pa.array(sig, pa.binary())]
+                size, hot = prefix_length(n, percent), 0
+                first = s[:size]
+                if w.any():
+                    first = s[np.lexsort((s, w))][:size]
+                    hot = max(0, size - int((w == 0).sum()))
+                    first = np.concatenate((first, shingles.mix(first[size - hot :] + U(band(n, percent)), 11), shingles.mix(first[size - hot :] + U(band(n, percent) - 1), 11)))
+                rows.append((n, h, first.view(np.int64), hot, int(bitmap(s, 64).view(np.int64)[0]), bitmap(s, band_bits(n)).tobytes()))
+            n, h, prefix, hot, sig64, sig = zip(*rows, strict=True) if rows else ((),) * 6
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(sig64, pa.int64()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SETS.split(", ")])
 
     return texts(docs).mapInArrow(run, SETS)
@@ -190,8 +205,10 @@ def members(sets: DataFrame, percent: int) -> DataFrame:
     """The rows of tiles with two classes or more, and each one's lead: the
     middle row of those within the size ratio (null: it is that itself). A tile
     of more than HELD rows has a middle for each run of them."""
-    rows = sets.where("prefix IS NOT NULL").select("n", "h", "sig64", F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.select("key", "n", "h", F.col("pos").cast("long").alias("pos"), "sig64")
+    rows = sets.where("prefix IS NOT NULL").select("n", "h", "sig64", "hot", (F.size("prefix") - F.col("hot") * 2).alias("size"), F.posexplode("prefix").alias("at", "key"))
+    rows = rows.where("at < size - hot OR at >= size")  # a hot member goes to its bands' tiles
+    place = F.when(F.col("at") < F.col("size"), F.col("at")).when(F.col("at") < F.col("size") + F.col("hot"), F.col("at") - F.col("hot")).otherwise(F.col("at") - 2 * F.col("hot"))
+    rows = rows.select("key", "n", "h", place.cast("long").alias("pos"), "sig64")
 
     def work(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, h = t["key"], t["h"]
@@ -218,27 +235,46 @@ def members(sets: DataFrame, percent: int) -> DataFrame:
     return tiles(rows, MEMBERS, work, HELD)
 
 
-def undecided(marked: DataFrame) -> DataFrame:
-    """Rows of tiles that still hold different labels; a tile of more than TILE
-    rows becomes one for each pair of its blocks."""
+def undecided(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of tiles that still hold different labels, with their wide bitmaps;
+    a tile of more than TILE rows becomes one for each pair of its blocks. In a
+    pair of two blocks ``side`` tells them apart, in others it is 0."""
     seen = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    rows = marked.join(seen.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "key")
+    rows = marked.join(seen.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "key").join(classes.select("h", "sig"), "h")
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(part).alias("key"), "n", "h", "pos", "sig64", "label")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long")
+    return rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(part).alias("key"), "n", "h", "pos", "sig64", "label", side.alias("side"), "sig")
+
+
+def within(sig: np.ndarray, i: np.ndarray, j: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """For rows i and j: do their wide bitmaps, folded to the smaller one's
+    size, differ in ``budget`` bits at most?"""
+    width = np.array([len(x) for x in sig])
+    size, keep = np.minimum(width[i], width[j]), np.ones(len(i), bool)
+    for bytes_ in np.unique(size[size > 8]).tolist():  # 64 bits have been compared
+        at = np.flatnonzero(size == bytes_)
+        used, place = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+        maps = np.stack([folded(np.frombuffer(sig[r], np.uint8), bytes_) for r in used]).view(np.uint64)
+        a, b = place[: len(at)], place[len(at) :]
+        step = max(1, (8 << 20) // bytes_)
+        for lo in range(0, len(at), step):
+            some = slice(lo, lo + step)
+            keep[at[some]] = np.bitwise_count(maps[a[some]] ^ maps[b[some]]).sum(1, dtype=np.int64) <= budget[at[some]]
+    return keep
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a tile's rows with different labels that sizes,
-    positions and small bitmaps allow."""
+    positions and both bitmaps allow."""
 
     def work(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         edge = bounds(t["key"])
         found: list[np.ndarray] = []
         size = 0
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            n, h, pos, sig, label = (t[c][lo:hi] for c in ("n", "h", "pos", "sig64", "label"))
+            n, h, pos, sig, label, side, wide = (t[c][lo:hi] for c in ("n", "h", "pos", "sig64", "label", "side", "sig"))
             if (label == label[0]).all():
                 continue
             for y0 in range(0, hi - lo, BLOCK):
@@ -249,13 +285,17 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                     total = n[x][:, None] + n[y][None, :]
                     need = -(-percent * total // (100 + percent))
                     ok = (np.arange(x.start, x.stop)[:, None] < np.arange(y.start, y.stop)[None, :]) & (label[x][:, None] != label[y][None, :])
+                    ok &= (side[x][:, None] == 0) | (side[x][:, None] != side[y][None, :])
                     ok &= (n[x] * 100)[:, None] >= (percent * n[y])[None, :]
                     ok &= ((n[x] - pos[x])[:, None] >= need) & ((n[y] - pos[y])[None, :] >= need)
                     ok &= total - popcount(sig[x][:, None] ^ sig[y][None, :]) >= 2 * need
                     i, j = np.nonzero(ok)
-                    if len(i):
-                        found.append(np.stack((h[x][i], h[y][j])))
-                        size += len(i)
+                    if not len(i):
+                        continue
+                    keep = within(wide, i + x.start, j + y.start, (total - 2 * need)[i, j])
+                    if keep.any():
+                        found.append(np.stack((h[x][i[keep]], h[y][j[keep]])))
+                        size += int(keep.sum())
                     if size > 200_000:
                         yield pairs_of(found)
                         found, size = [], 0
@@ -298,7 +338,7 @@ def sorted_arrays(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     cells = asked.select(F.col("rep").alias("doc_id")).select(cell).distinct()  # CELLS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, 1):
             found = shingles.sets([t.as_py() for t in batch.column(1)], k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(s) if len(s) else 0 for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "h", "members"])
 
@@ -307,25 +347,33 @@ def sorted_arrays(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that link: bitmaps first, then the intersection of sorted arrays."""
-    some = written(plausible(pairs, classes, percent), "near-plausible")
-    asked = written(some.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "rep"), "h"), "near-asked")
+    """Pairs (a, b) that link, by the intersection of sorted arrays. The array
+    of an ``a`` is sent once for each HUB of its pairs, not with each of them."""
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "rep"), "h"), "near-asked")
     arrays = sorted_arrays(asked, docs, k)
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts"))
+    mine = hubs.join(arrays.toDF("a", "members"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "members")
+    theirs = pairs.join(arrays.toDF("b", "members"), "b").join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "members")
+    rows = mine.unionAll(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                keep.append(enough(int((t[at] == s).sum()), len(s), len(t), percent))
+            for b, members in zip(batch.column(2), batch.column(3), strict=True):
+                s = np.frombuffer(members.as_py(), np.uint64)
+                if not b.is_valid:
+                    hub = s
+                    keep.append(False)
+                    continue
+                at = np.searchsorted(hub, s)
+                at[at == len(hub)] = 0
+                keep.append(enough(int((hub[at] == s).sum()), len(s), len(hub), percent))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask)], ["a", "b"])
 
-    one, two = arrays.select(F.col("h").alias("a"), F.col("members").alias("ma")), arrays.select(F.col("h").alias("b"), F.col("members").alias("mb"))
-    links = written(some.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long"), "near-links")
-    discard(some, asked, arrays)
+    links = written(rows.mapInArrow(decide, "a long, b long"), "near-links")
+    discard(asked, arrays)
     return links
 
 
@@ -409,21 +457,19 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, count: bool = True)
     without an id links with nothing and has no component. An empty table gives
     no rows. Only doc_id and text are read.
     """
-    small_batches(docs.sparkSession)
     sets = written(posted(docs, words, percent, frequent_cells(docs, words)), "near-sets")
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    small_batches(docs.sparkSession, 50_000)
     tiled = written(members(sets, percent), "near-tiles")
-    small_batches(docs.sparkSession)
-    stars = tiled.where("lead IS NOT NULL").select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b")).distinct()
+    rows = written(sets.select("doc_id", F.col("n").alias("n_shingles"), "h"), "near-docs")
+    discard(sets)
+    stars = written(plausible(tiled.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), classes, percent), "near-stars")
     first = exact(stars, classes, docs, words, percent)
+    discard(stars)
     label = components(first)
-    small_batches(docs.sparkSession, 50_000)
     marked = tiled.join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "n", "h", "pos", "sig64", F.coalesce("label", "h").alias("label"))
-    others = written(across(undecided(marked), percent), "near-pairs")
-    small_batches(docs.sparkSession)
-    discard(tiled)
+    others = written(across(undecided(marked, classes), percent), "near-pairs")
+    discard(tiled, label)
     second = exact(others, classes, docs, words, percent)
     # from here on a class goes by its smallest document, so a component's label is the answer
     name = classes.select(F.col("h").alias("a"), F.col("rep").alias("x"))
@@ -431,13 +477,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, count: bool = True)
     final = components(links, "x", "y")
     discard(first, second, others)
     homes = classes.select("h", F.col("rep").alias("node"), "n", "copies").join(final, "node", "left").select("h", F.col("node").alias("rep"), "n", "copies", F.coalesce("label", "node").alias("component_id"))
-    links = F.lit(None).cast("long")
+    homes = written(homes, "near-homes")
+    discard(classes, final)
+    found, links = homes, F.lit(None).cast("long")
     if count:
-        homes = written(homes, "near-homes")
-        homes = homes.join(link_counts(homes, docs, words, percent), "h", "left")
+        found = homes.join(link_counts(homes, docs, words, percent), "h", "left")
         links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "h")
-    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(homes.select("h", "component_id", links.alias("n_links")), "h").select("doc_id", "n_shingles", "component_id", "n_links")
+    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(found.select("h", "component_id", links.alias("n_links")), "h").select("doc_id", "n_shingles", "component_id", "n_links")
     alone = F.lit(0 if count else None).cast("long").alias("n_links")
     return linked.unionAll(rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), alone))
 
@@ -447,22 +493,23 @@ def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     id, one row of it. Rows that are linked with nothing stay, also those
     without an id; rows that share an id go each by its own text. Only texts
     whose id and text fall into the cell of one that goes, or that comes
-    twice, are shuffled."""
+    twice, are shuffled. Columns may have any names."""
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)])
     own = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    keyed = docs.withColumn("__own", own)
-    found = written(join(keyed.select(F.col("__own").alias("doc_id"), "text"), words, percent, count=False).where("doc_id IS NOT NULL"), "near-found")
-    ids = keyed.where("__own IS NOT NULL").select(F.col("__own").alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
+    keyed = plain.withColumn("own", own)
+    found = written(join(keyed.select(F.col("own").alias("doc_id"), "text"), words, percent, count=False).where("doc_id IS NOT NULL"), "near-found")
+    ids = keyed.where("own IS NOT NULL").select(F.col("own").alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
     places = found.select("doc_id", "component_id").distinct().join(ids, "doc_id")
     best = places.groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("stays"))
-    goes = written(places.join(best, "component_id").where("doc_id <> stays").select(F.col("doc_id").alias("__own")), "near-goes")
-    twice = found.groupBy(F.col("doc_id").alias("__own")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__own")
-    cell = F.coalesce(F.pmod(F.xxhash64("__own"), F.lit(CELLS)).cast("int"), F.lit(-1)).alias("__cell")
+    goes = written(places.join(best, "component_id").where("doc_id <> stays").select(F.col("doc_id").alias("own")), "near-goes")
+    twice = written(found.groupBy(F.col("doc_id").alias("own")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "near-twice")
+    discard(found)
+    cell = F.coalesce(F.pmod(F.xxhash64("own"), F.lit(CELLS)).cast("int"), F.lit(-1)).alias("cell")
     touched = goes.unionAll(twice).select(cell).distinct()  # CELLS numbers at most
     marked = keyed.select("*", cell)
-    clear = marked.join(F.broadcast(touched), "__cell", "left_anti")
-    unclear = marked.join(F.broadcast(touched), "__cell", "left_semi").join(goes, "__own", "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return clear.select(*columns).unionAll(unclear.dropDuplicates(["__own"]).select(*columns))
+    clear = marked.join(F.broadcast(touched), "cell", "left_anti")
+    unclear = marked.join(F.broadcast(touched), "cell", "left_semi").join(goes, "own", "left_anti")
+    return clear.select(*plain.columns).unionAll(unclear.dropDuplicates(["own"]).select(*plain.columns)).toDF(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, numbered, small_batches, worker_cache, written
+from brindle.llm.common import documents, numbered, runs, worker_cache, written
 
 CAPACITY = 1024
 LEAST = 64
@@ -86,11 +86,9 @@ PIECES = "doc_id long, start long, length long, mark long, doc_tokens long, klas
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
     """Tokenize documents and cut them. Each piece carries its ids; ``mark``, a
     checksum of them, parts pieces of equal places in the order of numbering."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in runs(batches, 1):
             rows: list[tuple] = []
             kept: list[bytes] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from brindle.llm.common import carried, documents, small_batches
+from brindle.llm.common import carried, documents, mapped, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -123,20 +122,19 @@ def judge(docs: DataFrame, columns: list[str], bands: Bands = Bands(), base: Bas
     judged alike; an empty table gives no rows. ``columns`` may hold anything
     but the names of the figures, which win over equal names.
     """
-    small_batches(docs.sparkSession)
     figures = [f.split()[0] for f in FIGURES.split(", ")]
     sent, keep, at = carried(docs, columns, figures)
+    names = [f"_{i}" for i in range(len(keep))] + figures
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
+        for batch in runs(batches, at):
             texts = batch.column(at)
             found = list(zip(*(measure(t.as_py(), bands, base, z) for t in texts), strict=True)) or [()] * len(figures)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [*keep, *figures])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.select(*[F.col(f"`{c}`") for c in keep]).schema] + [FIGURES])
-    return sent.mapInArrow(run, schema)
+    return mapped(sent, keep, run, FIGURES)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

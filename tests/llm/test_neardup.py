@@ -102,13 +102,52 @@ def test_planted(spark, k, percent):
 
 
 def test_large_tiles_come_in_parts(spark, monkeypatch):
-    put = neardup.small_batches
     monkeypatch.setattr(neardup, "TILE", 7)
     monkeypatch.setattr(neardup, "HELD", 7)
     monkeypatch.setattr(neardup, "BLOCK", 5)
-    monkeypatch.setattr(neardup, "small_batches", lambda spark, rows=3: put(spark, 5))
+    monkeypatch.setattr(neardup, "HUB", 3)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "5")
+    try:
+        rows = planted()
+        assert found(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70) == slow(rows, 3, 70)
+    finally:
+        spark.conf.set(most, before)
+
+
+def test_neighbouring_bands_hold_all_sizes_within_the_ratio():
+    for percent in (60, 80, 85):
+        for n in range(1, 4000):
+            assert neardup.band(n * 100 // percent, percent) - neardup.band(n, percent) in (0, 1)
+
+
+@pytest.mark.parametrize("cells", ["all", "half"])
+def test_hot_members_lose_no_link(spark, monkeypatch, cells):
+    monkeypatch.setattr(neardup, "SKETCH", 1 << 8)
+    monkeypatch.setattr(neardup, "frequent_cells", lambda docs, k: list(range(0, 1 << 8, 1 if cells == "all" else 2)))
     rows = planted()
-    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70) == slow(rows, 3, 70)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85) == slow(rows, 4, 85)
+
+
+def test_unrelated_texts_make_no_pairs(spark, monkeypatch):
+    """Texts that share rare shingles by chance: pairs that leave the tiles must not grow with the square of the texts."""
+    emitted, real = [], neardup.written
+
+    def counted(df, tag, *rest):
+        out = real(df, tag, *rest)
+        if tag == "near-pairs":
+            emitted.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    for n in (250, 1000):
+        texts = [" ".join(rng.choices(vocabulary, k=rng.randint(200, 600))) for _ in range(n)]
+        rows = neardup.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85)
+        assert rows.where("n_links > 0").count() == 0
+    assert emitted[1] <= 4 * max(emitted[0], 1)
 
 
 def test_odd_rows(spark, odd, none):
