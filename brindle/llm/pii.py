@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import documents
-from brindle.llm.spans import between, matches
+from brindle.llm.spans import between, let, matches
 
 ROUNDS = 8
 #: Days of a whole Gregorian cycle, 1800-01-01 to 2199-12-31: 189 * 773.
@@ -55,12 +55,6 @@ HINT = "[@0-9]"
 ANY = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, CARD, PHONE))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once; a column used in several
-    places, or in another function's loop, would be worked out each time."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def noise(key: str, tag: str, i: Column, x: Column) -> Column:
     """A keyed pseudorandom whole number below 2**48."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), x.cast("string")), 256), 1, 12), 16, 10).cast("long")

@@ -3,8 +3,8 @@
 A candidate is a long run of token characters. By its characters it is of a
 class (one-case or mixed hex, base 32, one-case letters with digits, letters of
 both cases, base 64, others); a window slides
-over it, and the counts of the window's characters and their sum of c*log2(c)
-are kept up to date as one character enters and one leaves. The highest
+over it, and the sum of c*log2(c) over the window's characters is kept up to
+date by the counts of the one that enters and the one that leaves. The highest
 entropy of any window decides, unless an allow-list pattern fits. All of it is
 SQL functions.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import documents
-from brindle.llm.spans import located, matches
+from brindle.llm.spans import apart, let, located, matches
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -61,24 +61,25 @@ def top_entropy(value: Column, window: int) -> Column:
     """The highest Shannon entropy of the windows over an ASCII string (of the
     whole string where it is shorter)."""
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    codes = F.transform(F.split(value, ""), F.ascii)
-    codes = F.filter(codes, lambda c: c > 0)
-    n = F.size(codes)
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), codes.alias("codes"))
-
-    def step(acc: Column, i: Column) -> Column:
-        comes = F.element_at(acc["codes"], i)
-        goes = F.when(i > window, F.element_at(acc["codes"], F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-        a = F.element_at(acc["counts"], comes + 1)
-        b = F.when(goes < 0, F.lit(0)).when(goes == comes, F.lit(0)).otherwise(F.element_at(acc["counts"], F.greatest(goes, F.lit(0)) + 1))
-        more = F.when(goes == comes, F.lit(0.0)).otherwise(F.element_at(weight, a + 2) - F.element_at(weight, a + 1) + F.when(b > 0, F.element_at(weight, F.greatest(b, F.lit(1))) - F.element_at(weight, b + 1)).otherwise(F.lit(0.0)))
-        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == comes, 1).otherwise(0) - F.when(j == goes, 1).otherwise(0))
-        total = acc["sum"] + more
-        size = F.least(i, F.lit(window)).cast("double")
-        bits = F.log2(size) - total / size
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= F.least(F.lit(window), F.size(acc["codes"])), F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"), acc["codes"].alias("codes"))
-
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda acc: acc["best"]))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def slide(codes: Column) -> Column:
+        n = F.size(codes)
+
+        def step(acc: Column, i: Column) -> Column:
+            stays = F.slice(codes, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+            count = lambda c: F.size(F.filter(stays, lambda x: x == c))
+            comes = count(F.element_at(codes, i))
+            goes = count(F.element_at(codes, F.greatest(i - window, F.lit(1))))
+            more = F.element_at(weight, comes + 2) - F.element_at(weight, comes + 1)
+            less = F.when(i > window, F.element_at(weight, goes + 2) - F.element_at(weight, goes + 1)).otherwise(F.lit(0.0))
+            total = acc["sum"] + more - less
+            size = F.least(i, F.lit(window)).cast("double")
+            return let(total, lambda t: F.struct(t.alias("sum"), F.when(i >= F.least(F.lit(window), n), F.greatest(acc["best"], F.log2(size) - t / size)).otherwise(acc["best"]).alias("best")))
+
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda acc: acc["best"]))
+
+    return let(F.filter(F.transform(F.split(value, ""), F.ascii), lambda c: c > 0), slide)
 
 
 def suspicious(value: Column, how: Entropy) -> Column:
@@ -107,10 +108,12 @@ def scan(docs: DataFrame, columns: list[str], how: Entropy = Entropy()) -> DataF
 
     Null and empty texts have none. Whole texts are scanned, however long;
     an entropy span that touches a span of another kind is left out. Repeated
-    rows are scanned alike; an empty table gives no rows.
+    rows are scanned alike; an empty table gives no rows. Columns may have any
+    names; one named found gives way.
     """
+    columns = [c for c in columns if c != "found"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], text.alias("__text"))
+    found = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)], text.alias("__text"))
     t = F.col("__text")
     none = F.expr("CAST(array() AS array<string>)")
     values = F.when(t.rlike(ASSIGN), matches(t, ASSIGN, 2)).otherwise(none)
@@ -118,8 +121,7 @@ def scan(docs: DataFrame, columns: list[str], how: Entropy = Entropy()) -> DataF
     row = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
     base = F.concat(F.transform(F.filter("__assign", lambda s: s["n"] >= 8), row(0)), F.transform("__access", row(1)), F.transform("__hex", row(2)))
     found = found.select("*", base.alias("__base"))
-    apart = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.transform(F.filter("__runs", lambda s: apart(s) & suspicious(s["value"], how)), row(3))
+    extra = F.transform(F.filter(apart(F.col("__runs"), F.col("__base")), lambda s: suspicious(s["value"], how)), row(3))
     return found.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)], F.array_sort(F.concat("__base", extra)).alias("found"))
 
 

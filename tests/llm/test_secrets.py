@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -50,9 +51,6 @@ def test_entropy_is_the_highest_of_all_windows(spark):
     rng = random.Random(4)
     values = ["".join(rng.choices("abcdef0123456789XYZ_", k=n)) for n in (1, 5, 20, 21, 60)] + ["aaaa", "ab" * 30]
 
-    def entropy(s):
-        return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
-
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.top_entropy(F.col("v"), 20).alias("h"))
     for r in df.collect():
         assert r.h == pytest.approx(max(entropy(r.v[i : i + 20]) for i in range(max(1, len(r.v) - 19))), abs=1e-9)
@@ -88,6 +86,59 @@ def test_query(spark, sf):
         assert set(filter(None, listed(want).split(","))) <= set(r.spans.split(","))
 
 
+def entropy(s):
+    return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
+
+
+def looks_like_a_key(v, how=secrets.Entropy()):  # noqa: B008
+    """The rule for candidates, by itself."""
+    if any(re.search(p, v) for p in how.allow):
+        return False
+    is_ = lambda p: re.fullmatch(p, v) is not None
+    digit, upper, lower = (re.search(p, v) is not None for p in ("[0-9]", "[A-Z]", "[a-z]"))
+    if digit and not (upper or lower):
+        return False
+    if not digit and not (upper and lower and is_("[A-Za-z]+") and len(re.sub("[A-Z]?[a-z]{2,}", "", v)) >= len(v) * how.odd_case):
+        return False
+    least = next(x for fits, x in (
+        (is_("[0-9a-f]+|[0-9A-F]+"), how.hex_least), (is_("[0-9A-Fa-f]+"), how.mixed_hex_least), (is_("(?:[A-Z2-7]+|[a-z2-7]+)=*"), how.base32_least), (is_("[A-Z0-9]+|[a-z0-9]+"), how.one_case_least),
+        (not digit, how.letters_least), (upper and lower, how.base64_least), (True, how.wide_least)) if fits)
+    return max(entropy(v[i : i + how.window]) for i in range(max(1, len(v) - how.window + 1))) >= least
+
+
+def all_spans(text):
+    known = base(text)
+    runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or "")]
+    more = [(m.start(), 3, m.end()) for m in runs if all(e <= m.start() or s >= m.end() for s, _, e in known) and looks_like_a_key(m[0])]
+    return sorted(known + more)
+
+
+def test_all_spans_against_a_plain_scan(spark, sf):
+    rng = random.Random(23)
+    mixed = [" ".join(rng.choice(("token=", "", "key ")) + "".join(rng.choices(rng.choice(list(ALPHABETS.values())), k=rng.randint(5, 60))) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = run(spark, TEXTS + mixed + docs)
+    for i, t in enumerate(TEXTS + mixed + docs):
+        assert got[i] == all_spans(t), t
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    rng, took = random.Random(3), []
+    for n in (8_000, 32_000):
+        text = " ".join("".join(rng.choices("0123456789abcdef", k=32)) for _ in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.scan(df, ["doc_id"]).select(F.size("found")).first()[0] == n
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0] + 1, took
+
+
+def test_names_may_clash(odd):
+    named = odd.withColumn("found", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("__0", F.lit(3))
+    out = secrets.scan(named, named.columns)
+    assert out.columns == [c for c in named.columns if c != "found"] + ["found"] and out.count() == odd.count()
+
+
 def test_odd_rows(odd, none):
     assert secrets.scan(odd, odd.columns).count() == odd.count()
     assert secrets.scan(none, none.columns).collect() == []
