@@ -4,44 +4,29 @@ The unit is a group of equal texts (one row after a partial aggregation, so a
 text with any number of copies weighs one row). A node with a quota of k
 shards is cut along its widest metadata dimension at the weighted quantile
 that gives each side its share of the bytes; for two, four, eight shards that
-is the weighted median. Quantiles come from histograms that are summed on the
-executors and refined; the driver sees at most ``BINS`` counts a node and
-round, and the tree itself. A document's shard is one SQL expression. The
-documents themselves move twice: to their text's shard, and to their slot.
+is the weighted median. The tree is cut a level at a time: each row carries its
+node, and a table of one row a node holds what is known of it. Quantiles come
+from histograms of at most ``BINS`` counts a node that are summed, searched and
+refined on the executors; the driver sees neither counts nor cuts, and no
+expression grows with the number of shards. The documents themselves move
+twice: to their text's shard, and to their slot.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import documents, numbered, scratch, written
+from brindle.llm.common import discard, documents, numbered, scratch, written
 
-BINS = 4096
+BINS = 1 << 15
 #: A cut is final when the bin that it falls into holds at most this share of the node.
 FINE = 0.0005
 #: Dimensions are scaled to so many bits within a node; ties go by checksum.
 BITS = 30
-ROUNDS = 6
-
-
-@dataclass
-class Node:
-    quota: int
-    weight: float
-    shard: int = 0
-    dim: int = -1
-    low: float = 0.0
-    high: float = 0.0
-    cut: int = 0  # keys below go left
-    left: Node | None = None
-    right: Node | None = None
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
 
 def metadata(docs: DataFrame, *others: Column | str) -> DataFrame:
@@ -68,84 +53,73 @@ def groups(meta: DataFrame) -> DataFrame:
 DIMS = ("d0", "d1", "d2")
 
 
-def key(node: Node) -> Column:
-    """A row's place along the node's dimension as a whole number; equal values
+def key() -> Column:
+    """A row's place along its node's dimension as a whole number; equal values
     go by checksum, so only equal texts can't be parted."""
-    span = node.high - node.low
-    scaled = F.lit(0).cast("long") if span <= 0 else F.floor((F.col(DIMS[node.dim]) - node.low) / span * (2**BITS - 1)).cast("long")
-    return F.shiftleft(F.greatest(F.least(scaled, F.lit(2**BITS - 1)), F.lit(0)).cast("long"), 32) + F.col("text_crc32")
-
-
-def leaf(node: Node) -> Column:
-    """The expression that finds a row's leaf."""
-    if node.left is None:
-        return F.lit(node.shard)
-    return F.when(key(node) < node.cut, leaf(node.left)).otherwise(leaf(node.right))
-
-
-def number(root: Node) -> list[Node]:
-    found = root.leaves()
-    for i, n in enumerate(found):
-        n.shard = i
-    return found
-
-
-def cut(rows: DataFrame, root: Node, open_nodes: list[Node]) -> None:
-    """Find the weighted quantiles of all open nodes together."""
-    at = {n.shard: [0, 2 ** (BITS + 32), 0.0, n.weight] for n in open_nodes}  # low, high, bytes before low, bytes within
-    keyed = rows.withColumn("leaf", leaf(root))
-    own = F.coalesce(*[F.when(F.col("leaf") == n.shard, key(n)) for n in open_nodes])
-    keyed = keyed.withColumn("key", own).where(F.col("key").isNotNull())
-    undecided = {n.shard: n for n in open_nodes}
-    for _ in range(ROUNDS):
-        if not undecided:
-            break
-        width = {s: max(1, -(-(at[s][1] - at[s][0]) // BINS)) for s in undecided}
-        low = F.coalesce(*[F.when(F.col("leaf") == s, F.lit(at[s][0])) for s in undecided])
-        high = F.coalesce(*[F.when(F.col("leaf") == s, F.lit(at[s][1])) for s in undecided])
-        step = F.coalesce(*[F.when(F.col("leaf") == s, F.lit(width[s])) for s in undecided])
-        inside = keyed.where((F.col("key") >= low) & (F.col("key") < high))
-        bins = inside.groupBy("leaf", F.expr("1").alias("one"), F.call_function("div", F.col("key") - low, step).alias("bin")).agg(F.sum("weight").alias("w")).collect()
-        for s, n in list(undecided.items()):
-            lo, hi, before, _ = at[s]
-            goal, run = n.weight * (n.quota // 2) / n.quota, before
-            mine = sorted((r["bin"], r["w"]) for r in bins if r["leaf"] == s)
-            for b, w in mine:
-                if run + w >= goal:
-                    break
-                run += w
-            else:  # no weight at all
-                b, w = 0, 0
-            start, stop = lo + b * width[s], min(hi, lo + (b + 1) * width[s])
-            n.cut = start if goal - run < run + w - goal else stop
-            at[s] = [start, stop, run, w]
-            if w <= FINE * n.weight or stop - start <= 1:
-                del undecided[s]
-
-
-def build(rows: DataFrame, target_bytes: int) -> Node:
-    """The tree for leaves of about ``target_bytes``."""
-    total = rows.agg(F.sum("weight")).first()[0] or 0
-    root = Node(quota=max(1, round(total / target_bytes)) if target_bytes else 1, weight=total)
-    scale: list[float] = []
-    while open_nodes := [n for n in number(root) if n.quota > 1]:
-        stats = [F.sum("weight").alias("w")] + [f(d).alias(f"{d}_{f.__name__}") for d in DIMS for f in (F.min, F.max)]
-        seen = {r["leaf"]: r for r in rows.groupBy(leaf(root).alias("leaf")).agg(*stats).collect()}
-        ready = []
-        for n in open_nodes:
-            if (r := seen.get(n.shard)) is not None:
-                spans = [r[f"{d}_max"] - r[f"{d}_min"] for d in DIMS]
-                scale = scale or [x or 1.0 for x in spans]
-                n.weight, n.dim = r["w"], max(range(len(DIMS)), key=lambda i: (spans[i] / scale[i], -i))
-                n.low, n.high = r[f"{DIMS[n.dim]}_min"], r[f"{DIMS[n.dim]}_max"]
-                ready.append(n)
-            else:
-                n.dim, n.weight = 0, 0
-        if ready:
-            cut(rows, root, ready)
-        for n in open_nodes:
-            n.left, n.right = Node(n.quota // 2, n.weight / 2), Node(n.quota - n.quota // 2, n.weight / 2)
-    return root
+    value = F.element_at(F.array(*DIMS), F.col("dim") + 1)
+    scaled = F.floor((value - F.col("low")) / (F.col("high") - F.col("low")) * (2**BITS - 1)).cast("long")
+    scaled = F.when(F.col("high") > F.col("low"), F.greatest(F.least(scaled, F.lit(2**BITS - 1)), F.lit(0))).otherwise(F.lit(0))
+    return F.shiftleft(scaled.cast("long"), 32) + F.col("text_crc32")
+
+
+def measured(rows: DataFrame, scale: list[float] | None) -> tuple[DataFrame, list[float]]:
+    """One row for each open node (first shard, quota above 1): its weight, its
+    widest dimension against the whole table's spans, and that one's range."""
+    spans = [f(d).alias(f"{f.__name__}_{d}") for d in DIMS for f in (F.min, F.max)]
+    nodes = rows.where("quota > 1").groupBy("first", "quota").agg(F.sum("weight").alias("weight"), *spans)
+    if scale is None:  # the root
+        root = nodes.first()
+        scale = [root[f"max_{d}"] - root[f"min_{d}"] or 1.0 for d in DIMS] if root else [1.0] * len(DIMS)
+    wide = [(F.col(f"max_{d}") - F.col(f"min_{d}")) / F.lit(x) for d, x in zip(DIMS, scale, strict=True)]
+    dim = F.array_position(F.array(*wide), F.array_max(F.array(*wide))).cast("int") - 1
+    nodes = nodes.select("*", dim.alias("dim"))
+    of = lambda end: F.element_at(F.array(*[F.col(f"{end}_{d}") for d in DIMS]), F.col("dim") + 1)
+    long = lambda n: F.lit(n).cast("long")
+    return nodes.select("first", "quota", "weight", "dim", of("min").alias("low"), of("max").alias("high"), long(0).alias("start"), long(2 ** (BITS + 32)).alias("stop"), long(0).alias("before"), long(0).alias("cut"), F.lit(False).alias("done")), scale
+
+
+def refined(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes with the bin that holds the quantile in place of the range before."""
+    step = F.greatest(F.ceil((F.col("stop") - F.col("start")) / BINS).cast("long"), F.lit(1))
+    inside = rows.join(nodes.where("NOT done").select("first", "quota", "dim", "low", "high", "start", "stop"), ["first", "quota"])
+    inside = inside.select("first", "weight", "start", "stop", step.alias("step"), key().alias("key")).where("key >= start AND key < stop")
+    bins = inside.groupBy("first", F.expr("(key - start) div step").alias("bin")).agg(F.sum("weight").alias("w"))
+    state = nodes.select("first", "weight", "quota", "before")
+    upto = Window.partitionBy("first").orderBy("bin")
+    run = bins.withColumn("run", F.sum("w").over(upto)).join(state, "first")
+    goal = F.col("weight") * F.floor(F.col("quota") / 2) / F.col("quota")
+    hit = run.where(F.col("before") + F.col("run") >= goal).groupBy("first").agg(F.min(F.struct("bin", "run", "w")).alias("hit"))
+    moved = nodes.join(hit, "first", "left")
+    h = F.col("hit")
+    start = F.col("start") + h["bin"] * step
+    stop = F.least(F.col("stop"), start + step)
+    before = F.col("before") + h["run"] - h["w"]
+    cut = F.when(goal - before < before + h["w"] - goal, start).otherwise(stop)
+    done = (h["w"] <= F.col("weight") * FINE) | (stop - start <= 1)
+    new = lambda value, name: F.when(h.isNull(), F.col(name)).otherwise(value).alias(name)
+    return moved.select("first", "quota", "weight", "dim", "low", "high", new(start, "start"), new(stop, "stop"), new(before, "before"), new(cut, "cut"), F.coalesce(done, F.lit(True)).alias("done"))
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """rows with ``shard``: the leaf of the tree with so many leaves."""
+    rows = written(rows.select("*", F.lit(0).alias("first"), F.lit(shards).alias("quota")), "shard-level")
+    most, scale = shards, None
+    while most > 1:
+        nodes, scale = measured(rows, scale)
+        nodes = written(nodes, "shard-nodes")
+        while nodes.where("NOT done").limit(1).count():
+            nodes, old = written(refined(rows, nodes), "shard-nodes"), nodes
+            discard(old)
+        half = F.floor(F.col("quota") / 2).cast("int")
+        left = F.coalesce(key() < F.col("cut"), F.lit(True))
+        cut = F.col("cut").isNotNull()
+        first = F.when(cut & ~left, F.col("first") + half).otherwise(F.col("first"))
+        quota = F.when(~cut, F.col("quota")).when(left, half).otherwise(F.col("quota") - half)
+        placed = rows.join(nodes.select("first", "quota", "dim", "low", "high", "cut"), ["first", "quota"], "left")
+        made = written(placed.select(*[c for c in rows.columns if c not in ("first", "quota")], first.alias("first"), quota.alias("quota")), "shard-level")
+        discard(rows, nodes)
+        rows, most = made, most - most // 2
+    return rows.withColumnRenamed("first", "shard")
 
 
 #: Documents of a part of a shard, on average.
@@ -161,18 +135,17 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     share a shard. A null text counts as empty (size 1); repeated rows each
     get a slot; an empty table gives no rows; columns may have any names.
     """
-    meta = written(metadata(docs), "shard-meta")
-    rows = written(groups(meta), "shard-groups")
-    if target_bytes is None:
+    rows = written(groups(metadata(docs)), "shard-groups")
+    if shards is None:
         total = rows.agg(F.sum("weight")).first()[0] or 0
-        target_bytes = total / (shards or 1)
-    root = build(rows, target_bytes)
-    number(root)
+        shards = max(1, round(total / target_bytes)) if target_bytes else 1
+    leaves = dealt(rows, shards)
+    discard(rows)
     # a group's third dimension is its first document's place, so its shard is looked up by identity
-    placed = rows.select("mark", "text_crc32", "size", "chars", leaf(root).cast("int").alias("shard"))
+    placed = leaves.select("mark", "text_crc32", "size", "chars", "shard")
     whole = metadata(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
-    dealt = whole.join(placed, ["mark", "text_crc32", "size", "chars"]).select("doc_id", "size", "text_crc32", "document", "shard")
-    return numbered(dealt, ["shard"], ["doc_id", "text_crc32"], "slot", PART_ROWS, 4, "part")
+    found = whole.join(placed, ["mark", "text_crc32", "size", "chars"]).select("doc_id", "size", "text_crc32", "document", "shard")
+    return numbered(found, ["shard"], ["doc_id", "text_crc32"], "slot", PART_ROWS, 4, "part")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int | None = None, target_bytes: int | None = None) -> None:
@@ -185,8 +158,8 @@ def write_shards(docs: DataFrame, path: str, shards: int | None = None, target_b
 
 def read_shards(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
     """What write_shards has written of ``docs``: slot, document, shard, part."""
-    document = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
-    return spark.read.schema(f"slot long, document struct<{document}>, shard int, part int").parquet(path)
+    fields = [("slot", T.LongType()), ("document", docs.schema), ("shard", T.IntegerType()), ("part", T.IntegerType())]
+    return spark.read.schema(T.StructType([T.StructField(n, t) for n, t in fields])).parquet(path)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
