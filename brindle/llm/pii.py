@@ -4,7 +4,11 @@ Numbers that pass their check (card numbers by checksum, IBANs, social
 security numbers by range, IPv4 addresses, telephone numbers by length) and real
 calendar dates are permuted within their format by a keyed Feistel network
 over two mixed-radix halves, so equal values stay equal in all documents, two
-different values stay different, and a pseudonym passes the same check.
+different values stay different, and a pseudonym passes the same check. Dates
+with slashes are read day first, and month first only where that is no date;
+a pseudonym must read back to the date it stands for, so those written month
+first are permuted among themselves (by the same network, walked on until a day
+beyond the twelfth comes up).
 Mail addresses get a keyed name at a reserved domain. Numbers that fail their
 check are no personal data and stay.
 """
@@ -18,6 +22,11 @@ from brindle.llm.common import documents
 from brindle.llm.spans import between, let, matches
 
 ROUNDS = 8
+#: Steps of a walk at most; one in 10**25 would need more.
+WALK = 64
+#: Where the session has no key of its own (spark.brindle.pii.key): for tests only,
+#: as anyone who knows a key can turn pseudonyms back.
+KEY_SETTING, TEST_KEY = "spark.brindle.pii.key", "brindle test key, set your own"
 #: Days of a whole Gregorian cycle, 1800-01-01 to 2199-12-31: 189 * 773.
 DAYS_A, DAYS_B = 189, 773
 
@@ -56,8 +65,8 @@ ANY = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, CARD, PHONE))
 
 
 def noise(key: str, tag: str, i: Column, x: Column) -> Column:
-    """A keyed pseudorandom whole number below 2**48."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), x.cast("string")), 256), 1, 12), 16, 10).cast("long")
+    """A keyed pseudorandom whole number below 2**60."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
 def feistel(key: str, tag: str, left: Column, right: Column, a: Column, b: Column) -> Column:
@@ -81,7 +90,7 @@ def ten_to(n: Column) -> Column:
 
 
 def permute_digits(key: str, tag: str, digits: Column) -> Column:
-    """A string of 2 to 36 digits as another of the same length."""
+    """A string of 2 to 30 digits as another of the same length."""
 
     def halves(d: Column) -> Column:
         n = F.length(d)
@@ -192,13 +201,20 @@ def date_valid(value: Column) -> Column:
 def new_date(key: str, value: Column) -> Column:
     first = F.lit("1800-01-01").cast("date")
     d, kind = as_date(value)
-    pair = let(F.datediff(d, first), lambda n: feistel(key, "date", F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B)))
+
+    def on(n: Column) -> Column:
+        pair = let(n, lambda x: feistel(key, "date", F.floor(x / DAYS_B), x % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B)))
+        return let(pair, lambda p: (p["l"] * DAYS_B + p["r"]).cast("int"))
+
+    day = lambda n: F.date_add(first, n)
+    steps = F.sequence(F.lit(1), F.when(kind == "MM/dd/yyyy", F.lit(WALK)).otherwise(F.lit(1)))
+    walked = lambda n: F.aggregate(steps, n, lambda x, _: F.when((kind == "MM/dd/yyyy") & (F.dayofmonth(day(x)) <= 12), on(x)).otherwise(x))
 
     def written_as(new: Column) -> Column:
         y, m, day = F.lpad(F.year(new).cast("string"), 4, "0"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
         return F.when(kind == "yyyy-MM-dd", F.concat_ws("-", y, m, day)).when(kind == "dd/MM/yyyy", F.concat_ws("/", day, m, y)).when(kind == "MM/dd/yyyy", F.concat_ws("/", m, day, y)).otherwise(F.concat_ws(".", day, m, y))
 
-    return let(let(pair, lambda p: F.date_add(first, (p["l"] * DAYS_B + p["r"]).cast("int"))), written_as)
+    return let(day(let(on(F.datediff(d, first)), walked)), written_as)
 
 
 def new_phone(key: str, value: Column) -> Column:
@@ -236,7 +252,11 @@ def pseudonym(key: str, m: Column) -> Column:
     return out
 
 
-def replace_personal(docs: DataFrame, key: str = "brindle") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+
+
+def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     """All columns of docs in their order, with pseudonyms in ``text``, and
     ``pii``: an array of the kinds replaced, in order.
 
@@ -257,5 +277,5 @@ def replace_personal(docs: DataFrame, key: str = "brindle") -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replace_personal(documents(spark, sf_dir))
+    rows = replace_personal(documents(spark, sf_dir), session_key(spark))
     return rows.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
