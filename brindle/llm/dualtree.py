@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import discard, spread, written
 
-LEAF = 16
+LEAF = 8
 #: Children of a node at most.
 FAN = 32
 #: Candidates of a block, about; and queries of a tree.

@@ -1,7 +1,10 @@
 """Language-model scores: marginal probability over subword segmentations.
 
 The vocabulary exists; its scores order the pieces and are the prior. Counts
-of pieces in training words turn them into unigram probabilities. A word's
+of pieces in training words turn them into unigram probabilities: first those
+of one segmentation a word, then, by forward and backward sums over the
+lattice of every distinct training word, the counts that all segmentations lead
+one to expect. A word's
 probability sums over all its segmentations (log-space forward recursion over
 the lattice); words are parted at white space, so a text's probability is the
 product of its words' and of the end's.
@@ -32,8 +35,16 @@ HEAD = 16_384
 #: A task's word counts are passed on when so many distinct words have come up.
 FLUSH_WORDS = 300_000
 #: A block of documents: at most so many bytes of text (or one document).
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 BLOCK_DOCS = 30_000
+#: Blocks of a task that adds words up.
+TASK_BLOCKS = 8
+#: Rounds of expected counts.
+ROUNDS = 1
+#: Expected counts are added in these parts: whole numbers, in any order the same.
+PART = 1 << 20
+#: Longer words are summed over in log space only; shorter ones can't underflow.
+SHORT = 30
 #: Weight of the vocabulary's own order against counts, in pieces.
 PRIOR = 16_000.0
 
@@ -105,7 +116,7 @@ def piece_counts(words: DataFrame, path: str) -> dict[int, int]:
 class Lattice:
     """Unigram log probabilities of pieces and the forward recursion."""
 
-    def __init__(self, path: str, counts: dict[int, int], ends: int):
+    def __init__(self, path: str, counts: dict[int, float], ends: int):
         model = processor(path)
         size = model.get_piece_size()
         normal = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i))]
@@ -117,6 +128,8 @@ class Lattice:
         self.end = math.log((ends + 1.0) / total)
         self.byte = {int(model.id_to_piece(i)[3:5], 16): log[i] for i in normal if model.is_byte(i)}
         self.piece = {model.id_to_piece(i): log[i] for i in normal if not model.is_byte(i)}
+        self.number = {model.id_to_piece(i): i for i in normal if not model.is_byte(i)}
+        self.byte_number = {int(model.id_to_piece(i)[3:5], 16): i for i in normal if model.is_byte(i)}
         self.prefixes = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
 
     def marginal(self, word: str) -> float:
@@ -153,11 +166,85 @@ class Lattice:
                 part = s[i:j]
         return a[n]
 
+    def edges(self, word: str) -> tuple[int, list[tuple[int, int, float, tuple[int, ...]]]]:
+        """The lattice of a word: places, and (from, to, log probability, the
+        numbers of the piece or of the bytes) in order of from."""
+        s = "▁" + word
+        n, piece, prefixes = len(s), self.piece, self.prefixes
+        out = []
+        for i in range(n):
+            part, j = s[i], i + 1
+            if part not in piece:
+                raw = part.encode("utf-8", "surrogatepass")
+                out.append((i, j, sum(self.byte.get(b, -30.0) for b in raw), tuple(self.byte_number[b] for b in raw if b in self.byte_number)))
+            while part in prefixes:
+                p = piece.get(part)
+                if p is not None:
+                    out.append((i, j, p, (self.number[part],)))
+                j += 1
+                if j > n:
+                    break
+                part = s[i:j]
+        return n, out
+
+    def expect(self, word: str, times: int, total: list[int]) -> None:
+        """Add to ``total``, in PARTs, how often each piece is expected in
+        ``times`` words, by forward and backward sums."""
+        n, edges = self.edges(word)
+        exp = math.exp
+        if n <= SHORT:
+            a, b = [0.0] * (n + 1), [0.0] * (n + 1)
+            a[0] = b[n] = 1.0
+            steps = [(i, j, exp(p), ids) for i, j, p, ids in edges]
+            for i, j, p, _ in steps:
+                a[j] += a[i] * p
+            for i, j, p, _ in reversed(steps):
+                b[i] += p * b[j]
+            scale = times * PART / a[n]
+            for i, j, p, ids in steps:
+                share = int(a[i] * p * b[j] * scale + 0.5)
+                if share:
+                    for k in ids:
+                        total[k] += share
+            return
+        low = -1e300
+        a, b = [low] * (n + 1), [low] * (n + 1)
+        a[0] = b[n] = 0.0
+        add = lambda x, y: max(x, y) + math.log1p(exp(-abs(x - y)))
+        for i, j, p, _ in edges:
+            a[j] = add(a[j], a[i] + p)
+        for i, j, p, _ in reversed(edges):
+            b[i] = add(b[i], p + b[j])
+        for i, j, p, ids in edges:
+            share = int(exp(min(0.0, a[i] + p + b[j] - a[n])) * times * PART + 0.5)
+            for k in ids:
+                total[k] += share
+
     def log10(self, word: bytes) -> float:
         return (self.marginal(word.decode("utf-8", "replace")) if word else self.end) / math.log(10)
 
 
-def score_words(words: DataFrame, path: str, counts: dict[int, int], ends: int) -> DataFrame:
+def expected_counts(words: DataFrame, path: str, counts: dict[int, float], ends: int) -> dict[int, float]:
+    """How often each piece is expected in the training words, over all their
+    segmentations under the model of ``counts``. One number a piece of the
+    vocabulary goes out and comes back."""
+    known = words.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(path, known.value, ends)
+        total = [0] * processor(path).get_piece_size()
+        for batch in batches:
+            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lattice.expect(word.decode("utf-8", "replace"), c, total)
+        used = [i for i, n in enumerate(total) if n]
+        # two halves, as a sum may go beyond 64 bits
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[i] >> 20 for i in used], pa.int64()), pa.array([total[i] & (PART - 1) for i in used], pa.int64())], ["piece", "n", "parts"])
+
+    rows = words.where("c > 0 AND octet_length(word) > 0").select("word", "c").mapInArrow(run, "piece long, n long, parts long")
+    return {r["piece"]: r["n"] + r["parts"] / PART for r in rows.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("parts").alias("parts")).collect()}
+
+
+def score_words(words: DataFrame, path: str, counts: dict[int, float], ends: int) -> DataFrame:
     """word, c, n (everywhere), log10 of its marginal probability."""
     spread_counts = words.sparkSession.sparkContext.broadcast(counts)  # at most one number a piece of the vocabulary
 
@@ -265,7 +352,7 @@ def in_blocks(docs: DataFrame, head: dict[bytes, tuple[int, int, int]]) -> DataF
     return docs.mapInArrow(run, BLOCKS)
 
 
-def gather(rows: DataFrame, schema: str) -> DataFrame:
+def gather(rows: DataFrame, schema: str, blocks: int) -> DataFrame:
     """Add up each block's words into its documents."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -286,7 +373,8 @@ def gather(rows: DataFrame, schema: str) -> DataFrame:
         made = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(sums[0]), *(pa.array(x / 2**SCALE) for x in sums[1:])]
         return pa.table(dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), made, strict=True)))
 
-    return rows.groupBy("block").applyInArrow(run, schema)
+    # as many tasks as the blocks ask for, whatever the session's number of partitions
+    return rows.repartition(max(1, -(-blocks // TASK_BLOCKS)), "block").groupBy("block").applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
@@ -303,7 +391,10 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     seen = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train, scale = seen["n"], seen["n"] + 0.5 * (seen["v"] + 1)
     end = words.where("octet_length(word) = 0").first()
-    scored = written(score_words(words, path, piece_counts(words, path), end["c"] if end else 0), "lm-scored")
+    ends, counts = end["c"] if end else 0, piece_counts(words, path)
+    for _ in range(ROUNDS):
+        counts = expected_counts(words, path, counts, ends)
+    scored = written(score_words(words, path, counts, ends), "lm-scored")
     discard(words)
     fixed = lambda x: F.round(x * F.lit(float(2**SCALE))).cast("long")
     base = F.log10((F.col("c") + 0.5) / F.lit(float(scale)))
@@ -316,7 +407,7 @@ def score(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     nothing = F.lit(None)
     rows = blocks.where("word IS NULL").select("block", "local", "times", "n_known", "base", "score", "doc_id", "held_out", "n_tokens").unionAll(
         answered.select("*", nothing.cast("long").alias("doc_id"), nothing.cast("boolean").alias("held_out"), nothing.cast("long").alias("n_tokens")))
-    out = gather(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = gather(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", blocks.where("word IS NULL").select("block").distinct().count())
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
 
 

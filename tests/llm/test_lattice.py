@@ -67,6 +67,56 @@ def test_marginal_is_the_sum_over_segmentations():
     assert sum(map(math.exp, [*model.piece.values(), *model.byte.values(), model.end])) == pytest.approx(1.0)
 
 
+def segmentations(model, s):
+    """All (log probability, numbers of pieces) of a string."""
+    if not s:
+        return [(0.0, ())]
+    heads = [(model.piece[s[:k]], (model.number[s[:k]],), s[k:]) for k in range(1, len(s) + 1) if s[:k] in model.piece]
+    if s[0] not in model.piece:
+        raw = s[0].encode()
+        heads.append((sum(model.byte[b] for b in raw), tuple(model.byte_number[b] for b in raw), s[1:]))
+    return [(p + q, ids + more) for p, ids, rest in heads for q, more in segmentations(model, rest)]
+
+
+@pytest.mark.parametrize("short", [30, 0])
+def test_expected_counts_are_those_of_all_segmentations(monkeypatch, short):
+    monkeypatch.setattr(lattice, "SHORT", short)
+    model = lattice.Lattice(FILE, {}, 1)
+    for word, times in (("the", 3), ("nation", 1), ("übung", 7), ("漢x🎉", 2)):
+        total = [0] * lattice.processor(FILE).get_piece_size()
+        model.expect(word, times, total)
+        found = segmentations(model, "▁" + word)
+        whole, want = sum(math.exp(p) for p, _ in found), Counter()
+        for p, ids in found:
+            for i in ids:
+                want[i] += times * math.exp(p) / whole
+        assert {i: n / lattice.PART for i, n in enumerate(total) if n > 20} == pytest.approx({i: n for i, n in want.items() if n * lattice.PART > 20}, abs=1e-4)
+
+
+def test_score_is_the_sum_of_words_over_all_segmentations(spark):
+    """The document's score, from counting to adding up, worked out by enumeration."""
+    texts = ["The cat sat on the mat", "a mat and a cat", "übung the", "", "cat nap"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:4] + [next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)]
+    rows = lattice.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), FILE).collect()
+    train = Counter(w for t in texts[:4] for w in words_of(t)[:-1])
+    cut, counts = lattice.processor(FILE), Counter()
+    for w, c in train.items():
+        for i in cut.encode(w):
+            counts[i] += c
+    first, expected = lattice.Lattice(FILE, counts, 4), Counter()
+    for w, c in train.items():
+        found = segmentations(first, "▁" + w)
+        whole = sum(math.exp(p) for p, _ in found)
+        for p, pieces in found:
+            for i in pieces:
+                expected[i] += c * math.exp(p) / whole
+    model = lattice.Lattice(FILE, expected, 4)
+    for r in rows:
+        words = words_of(texts[ids.index(r.doc_id)])[:-1]
+        want = model.end + sum(math.log(sum(math.exp(p) for p, _ in segmentations(model, "▁" + w))) for w in words)
+        assert r.score == pytest.approx(want / math.log(10), rel=1e-5)
+
+
 def test_training_words_gain(spark):
     rows = spark.range(400).selectExpr("id AS doc_id", "repeat('zyxwvq marble ', 5) AS text")
     scores = {r.doc_id: r.score for r in lattice.score(rows.unionAll(spark.createDataFrame([(10**6, "plinth sconce " * 5)], rows.schema)), FILE).collect()}
