@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import crf, neardup, packing, pii, rules
-from brindle.llm.common import written
+from brindle.llm.common import discard, written
 
 
 def aside(docs: DataFrame) -> DataFrame:
     """docs with all columns but doc_id and text under names no stage uses."""
-    return docs.toDF(*[c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)])
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)])
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars is counted anew."""
     plain = aside(docs)
-    changed = pii.replace_personal(plain).select(*plain.columns).toDF(*docs.columns)
+    changed = pii.replace_personal(plain, pii.session_key(spark)).select(*plain.columns).toDF(*docs.columns)
     return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
 
 
@@ -65,7 +65,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)  # its reader is written
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
