@@ -374,6 +374,43 @@ front_door("sql_count_distinct", "SELECT l_returnflag, COUNT(DISTINCT l_partkey)
 front_door("sql_order_hidden", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", tables=("orders",))
 front_door("sql_aggregate_name", 'SELECT c_nationkey, SUM(c_custkey) FROM customer GROUP BY c_nationkey ORDER BY "SUM(c_custkey)" DESC', 'SELECT c_nationkey, CAST(SUM(c_custkey) AS BIGINT) AS "SUM(c_custkey)" FROM customer GROUP BY c_nationkey', tables=("customer",))
 
+front_door("sql_null_order", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 49 ORDER BY l_linenumber DESC, o_orderkey LIMIT 40", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 49 ORDER BY l_linenumber DESC NULLS FIRST, o_orderkey LIMIT 40", tables=("orders", "lineitem"))
+front_door("sql_null_order_said", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 49 ORDER BY l_linenumber DESC NULLS LAST, o_orderkey, l_partkey LIMIT 40", tables=("orders", "lineitem"))
+front_door("sql_division", "SELECT n_nationkey, n_nationkey / 2 AS half, n_nationkey / 2.0D AS half_too FROM nation", "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) / 2 AS half, CAST(n_nationkey AS DOUBLE) / 2 AS half_too FROM nation", tables=("nation",))
+front_door("sql_whole_division", "SELECT o_orderkey, o_custkey DIV 7 AS seventh FROM orders", "SELECT o_orderkey, o_custkey // 7 AS seventh FROM orders", tables=("orders",))
+front_door("sql_wide_literals", "SELECT n_nationkey, CAST(18446744073709551615 AS DECIMAL(20,0)) AS u64, CAST(127 AS TINYINT) AS i8, -9223372036854775808 AS i64 FROM nation", "SELECT n_nationkey, CAST(18446744073709551615 AS DECIMAL(20,0)) AS u64, CAST(127 AS TINYINT) AS i8, CAST(-9223372036854775808 AS BIGINT) AS i64 FROM nation", tables=("nation",))
+front_door("sql_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region", tables=("nation", "region"))
+front_door("sql_except", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem", tables=("orders", "lineitem"))
+front_door("sql_comma_join", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey", tables=("nation", "region"))
+front_door("sql_with", "WITH busy AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c_name, n FROM customer JOIN busy ON c_custkey = o_custkey WHERE n > 12", tables=("customer", "orders"))
+
+
+@fluent("literal_widths", "SELECT n_nationkey, CAST(7 AS TINYINT) AS a, CAST(7 AS INTEGER) AS b, CAST(7 AS DECIMAL(20,0)) AS c, CAST(1.5 AS DOUBLE) AS d FROM nation")
+def _(t):
+    return t("nation").select(col("n_nationkey"), lit(7, "i8").alias("a"), lit(7, "u16").alias("b"), lit(7, "u64").alias("c"), lit(1.5, "f64").alias("d"))
+
+
+def csv_of(texts: str, options: CsvReadOptions):
+    """A query that writes lines made by SQL into the shared folder and reads them as CSV."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        import uuid
+
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{base}/csv-{uuid.uuid4().hex}"
+        table(spark, folder, "customer").selectExpr(f"{texts} AS value").write.text(path)
+        return SessionContext(spark).read_csv(path, options).df
+
+    return run
+
+
+# names in quotes, with doubled quotes, the delimiter and a line break in them
+QUERIES["csv_quoted"] = csv_of("""concat(c_custkey, ',"', c_name, ', "", says ""', c_custkey, '""', chr(10), 'twice"')""", CsvReadOptions().with_has_header(False))
+ORACLE["csv_quoted"] = """SELECT c_custkey AS "_c0", c_name || ', ", says "' || c_custkey || '"' || chr(10) || 'twice' AS "_c1" FROM customer"""
+# an empty field every seventh row, and fractions
+QUERIES["csv_no_header"] = csv_of("concat(c_custkey, '|', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END, '|', c_nationkey / 2.0D)", CsvReadOptions().with_has_header(False).with_delimiter("|"))
+ORACLE["csv_no_header"] = """SELECT c_custkey AS "_c0", CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS "_c1", CAST(c_nationkey AS DOUBLE) / 2 AS "_c2" FROM customer"""
+
 
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Nations written as CSV with odd options into the shared folder, read back."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ArithmeticException, ParseException, PySparkException
 
 
@@ -27,8 +28,14 @@ class SourceError(EngineError):
     """A file or table can't be read."""
 
 
-def translate(error: PySparkException) -> EngineError:
+#: Spark's names for records and values that can't be read as the schema says.
+MALFORMED = ("MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD", "CAST_INVALID_INPUT")
+
+
+def translate(error: Exception) -> EngineError:
     said = str(error).split("\n")[0]
+    if any(name in str(error) for name in MALFORMED):
+        return InvalidData(said)
     if isinstance(error, ParseException):
         return SqlSyntaxError(said)
     if isinstance(error, AnalysisException):
@@ -45,7 +52,7 @@ def translated(method):
     def run(*args, **named):
         try:
             return method(*args, **named)
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:  # a task's failure can come as the latter
             raise translate(error) from error
 
     return run

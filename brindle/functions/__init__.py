@@ -7,7 +7,9 @@ a plan-time error for comparing text with numbers.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,24 +18,59 @@ from pyspark.sql import types as T
 
 from brindle.errors import InvalidOperation
 
-COMPARISONS = ("=", "!=", "<", "<=", ">", ">=")
-ARITHMETIC = ("+", "-", "*", "/")
+COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+COMPUTE = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv}
+COMPARISONS, ARITHMETIC = tuple(COMPARE), tuple(COMPUTE)
 LOGICAL = ("AND", "OR")
 #: Integer widths a literal can ask for, by name.
 WIDTHS = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "smallint", "u16": "int", "u32": "bigint", "u64": "decimal(20,0)", "f32": "float", "f64": "double"}
 AGGREGATES = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
 
+#: Whole numbers, narrowest first.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def kind_of(t: T.DataType) -> str:
+    """What the rules need to know of a type: text is never compared with a
+    number, and two whole numbers are divided as such."""
+    if isinstance(t, T.StringType):
+        return "text"
+    if isinstance(t, T.IntegralType | T.DoubleType):
+        return t.simpleString()
+    return "number" if isinstance(t, T.NumericType) else "other"
+
+
+def numeric(kind: str) -> bool:
+    return kind in WHOLE or kind in ("double", "number")
+
+
+def alike(a: Column, ka: str, b: Column, kb: str) -> tuple[Column, Column, str]:
+    """Both with the casts that Spark would add, and their kind. Spark finds one
+    level of casts a pass, and ends a long chain of them with an error."""
+    if ka in WHOLE and kb in WHOLE:
+        wide = max(ka, kb, key=WHOLE.index)
+    elif "double" in (ka, kb) and numeric(ka) and numeric(kb):
+        wide = "double"
+    else:
+        return a, b, "number" if numeric(ka) and numeric(kb) else "other"
+    return (a if ka == wide else a.cast(wide)), (b if kb == wide else b.cast(wide)), wide
+
+
 class Expression:
     """Common fluent surface of all expressions."""
 
     def name(self) -> str:
         raise NotImplementedError
 
-    def bind(self, df: DataFrame) -> Column:
-        """This expression as an unnamed Spark column over ``df``."""
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        """This expression as an unnamed Spark column over ``df``, and its kind
+        of type (see kind_of): one pass over the tree, without asking Spark."""
         raise NotImplementedError
 
+    def bind(self, df: DataFrame) -> Column:
+        return self.typed(df)[0]
+
     def bound(self, df: DataFrame) -> Column:
         return self.bind(df).alias(self.name())
 
@@ -94,9 +131,11 @@ class ColumnRef(Expression):
     def name(self) -> str:
         return self.column
 
-    def bind(self, df: DataFrame) -> Column:
-        exact = self.column.lower() in (c.lower() for c in df.columns)
-        return F.col(f"`{self.column}`" if exact else self.column)
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        same = [f for f in df.schema if f.name.lower() == self.column.lower()]
+        made = F.col(f"`{self.column}`" if same else self.column)
+        # a name with a frame's alias is the one thing that only Spark resolves
+        return made, kind_of(same[0].dataType if same else df.select(made).schema[0].dataType)
 
     def bound(self, df: DataFrame) -> Column:
         return self.bind(df)
@@ -110,9 +149,14 @@ class Literal(Expression):
     def name(self) -> str:
         return str(self.value)
 
-    def bind(self, df: DataFrame) -> Column:
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
         made = F.lit(self.value)
-        return made.cast(WIDTHS[self.width]) if self.width else made
+        if self.width:
+            return made.cast(WIDTHS[self.width]), kind_of(T.DataType.fromDDL(WIDTHS[self.width]))
+        v = self.value
+        if isinstance(v, int) and not isinstance(v, bool):
+            return made, "int" if -(2**31) <= v < 2**31 else "bigint"
+        return made, "text" if isinstance(v, str) else "double" if isinstance(v, float) else "number" if isinstance(v, Decimal) else "other"
 
 
 @dataclass(frozen=True)
@@ -123,8 +167,8 @@ class Alias(Expression):
     def name(self) -> str:
         return self.label
 
-    def bind(self, df: DataFrame) -> Column:
-        return self.inner.bind(df)
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        return self.inner.typed(df)
 
     def has_aggregate(self) -> bool:
         return self.inner.has_aggregate()
@@ -138,8 +182,8 @@ class Cast(Expression):
     def name(self) -> str:
         return self.inner.name()
 
-    def bind(self, df: DataFrame) -> Column:
-        return self.inner.bind(df).cast(self.kind)
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        return self.inner.bind(df).cast(self.kind), kind_of(T.DataType.fromDDL(self.kind))
 
     def has_aggregate(self) -> bool:
         return self.inner.has_aggregate()
@@ -157,19 +201,20 @@ class Binary(Expression):
     def has_aggregate(self) -> bool:
         return self.left.has_aggregate() or self.right.has_aggregate()
 
-    def bind(self, df: DataFrame) -> Column:
-        a, b = self.left.bind(df), self.right.bind(df)
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        (a, ka), (b, kb) = self.left.typed(df), self.right.typed(df)
         if self.op in LOGICAL:
-            return a & b if self.op == "AND" else a | b
-        ta, tb = self.left.dtype(df), self.right.dtype(df)
+            return (a & b if self.op == "AND" else a | b), "other"
         if self.op in COMPARISONS:
-            text = [isinstance(t, T.StringType) for t in (ta, tb)]
-            if any(text) and any(isinstance(t, T.NumericType) for t in (ta, tb)):
-                raise InvalidOperation(f"can't compare {ta.simpleString()} with {tb.simpleString()}: {self.name()}")
-            return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[self.op]
-        if self.op == "/" and all(isinstance(t, T.IntegralType) for t in (ta, tb)):
-            return F.call_function("div", a, b)
-        return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[self.op]()
+            if "text" in (ka, kb) and (numeric(ka) or numeric(kb)):
+                raise InvalidOperation(f"can't compare text with a number: {self.name()}")
+            return COMPARE[self.op](a, b), "other"
+        a, b, kind = alike(a, ka, b, kb)
+        if self.op == "/" and kind in WHOLE:
+            return F.call_function("div", a, b), "bigint"
+        made = COMPUTE[self.op](a, b)
+        # dates, texts and NULL in arithmetic: Spark's own rules say what comes out
+        return made, kind if kind != "other" else kind_of(df.select(made).schema[0].dataType)
 
 
 @dataclass(frozen=True)
@@ -180,8 +225,11 @@ class Aggregate(Expression):
     def name(self) -> str:
         return f"{self.func}({self.arg.name()})"
 
-    def bind(self, df: DataFrame) -> Column:
-        return AGGREGATES[self.func](self.arg.bind(df))
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        made, kind = self.arg.typed(df)
+        if self.func not in ("MIN", "MAX"):
+            kind = "bigint" if self.func == "COUNT" or (self.func == "SUM" and kind in WHOLE) else "double" if self.func == "AVG" and (kind in WHOLE or kind == "double") else "number"
+        return AGGREGATES[self.func](made), kind
 
     def has_aggregate(self) -> bool:
         return True
@@ -195,9 +243,9 @@ class SortKey(Expression):
     def name(self) -> str:
         return self.inner.name()
 
-    def bind(self, df: DataFrame) -> Column:
-        made = self.inner.bind(df)
-        return made.asc_nulls_first() if self.ascending else made.desc_nulls_first()
+    def typed(self, df: DataFrame) -> tuple[Column, str]:
+        made, kind = self.inner.typed(df)
+        return (made.asc_nulls_first() if self.ascending else made.desc_nulls_first()), kind
 
 
 def wrap(value) -> Expression:

@@ -1,10 +1,13 @@
 """Cases that small fixtures hide: nulls, many rows, negatives, empty inputs, plans."""
 
+import os
+import time
+
 import pytest
 
 import __spark_entry__ as entry_module
-from brindle import Frame, avg, binary, col, count, lit, max_, min_, sort, sum_
-from brindle.errors import InvalidData
+from brindle import CsvReadOptions, Frame, SessionContext, avg, binary, col, count, lit, max_, min_, sort, sum_
+from brindle.errors import InvalidData, InvalidOperation
 from brindle.plans import explain
 from brindle.sources import table
 
@@ -110,3 +113,70 @@ def test_show_prints_all_rows(spark, capsys):
     assert all(str(i) in shown for i in range(1000, 1045)) and "only showing" not in shown
     Frame(spark.range(1000, 1045).toDF("id")).show(3)
     assert "1002" in (shown := capsys.readouterr().out) and "1003" not in shown
+
+
+def test_a_long_expression_binds_at_once(spark):
+    e = col("v")
+    for i in range(200):
+        e = e + i % 3
+    began = time.time()
+    out = frame(spark, [(1,)], "v bigint").select(e.alias("v"))
+    assert time.time() - began < 5  # a second or so; analysis included
+    assert rows(out) == [(1 + sum(i % 3 for i in range(200)),)]
+
+
+def test_kinds_follow_the_tree(spark):
+    f = frame(spark, [(7, 2.0, "x", None)], "a int, b double, c string, d bigint")
+    half = (col("a") + 1) / 2
+    assert rows(f.select(half.alias("q"), (col("a") / col("b")).alias("r"), (col("a") * 2.0 / 4).alias("s"))) == [(4, 3.5, 3.5)]
+    assert rows(f.aggregate([], [(sum_(col("a")) / count(col("a"))).alias("q"), (avg(col("a")) / 2).alias("r")])) == [(7, 3.5)]
+    for bad in (col("c").eq(col("a") + 1), (col("a") * 2).lt("x"), lit("x").gt(sum_(col("a")))):
+        with pytest.raises(InvalidOperation):
+            bad.bind(f.df)
+    named = f.alias("t")
+    assert rows(named.filter(col("t.a").eq(7)).select((col("t.a") / 2).alias("q"))) == [(3,)]
+
+
+@pytest.mark.parametrize("text", [
+    "WITH x AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '/tmp/brindle-never' USING parquet SELECT a FROM x",
+    "INSERT OVERWRITE DIRECTORY '/tmp/brindle-never' USING parquet SELECT 1 AS a", "CREATE TABLE t AS SELECT 1 AS a", "DROP TABLE t", "SET spark.sql.ansi.enabled = false",
+    "WITH x AS (SELECT 1 AS a) INSERT INTO y SELECT a FROM x", "EXPLAIN SELECT 1", "SHOW TABLES",
+])
+def test_only_queries_are_run(spark, text):
+    with pytest.raises(InvalidOperation):
+        SessionContext(spark).sql(text)
+    assert not os.path.exists("/tmp/brindle-never")
+
+
+def test_order_of_nulls_is_one_in_both_front_doors(spark):
+    ctx = SessionContext(spark)
+    frame(spark, [(2, "DESC"), (None, "b"), (1, "c")], "v int, w string").df.createOrReplaceTempView("nulls")
+    ask = lambda text: [r[0] for r in ctx.sql(text).collect()]
+    assert ask("SELECT v FROM nulls ORDER BY v") == [None, 1, 2]
+    assert ask("SELECT v FROM nulls ORDER BY v DESC") == [None, 2, 1]
+    assert ask("SELECT v FROM nulls ORDER BY v desc nulls last LIMIT 2") == [2, 1]
+    assert ask("SELECT v AS desc FROM nulls WHERE w = 'ORDER BY DESC' OR w <> 'DESC' -- by DESC\n ORDER BY desc DESC") == [None, 1]
+    assert ask("SELECT x.v FROM (SELECT v FROM nulls ORDER BY v DESC LIMIT 1) x") == [None]
+    assert ask("SELECT row_number() OVER (ORDER BY v DESC) AS n FROM nulls WHERE v IS NULL OR v = 1 ORDER BY n DESC") == [2, 1]
+
+
+def test_csv_records(spark, tmp_path):
+    ctx = SessionContext(spark)
+
+    def put(text):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.csv"
+        path.write_text(text)
+        return str(path)
+
+    said = put('k,v\n1,"say ""hi"""\n2,"two\nlines, one field"\n3,\n')
+    assert sorted(rows(ctx.read_csv(said)), key=str) == sorted([(1, 'say "hi"'), (2, "two\nlines, one field"), (3, None)], key=str)
+    assert [f.dataType.simpleString() for f in ctx.read_csv(said).schema] == ["bigint", "string"]
+    late = ctx.read_csv(put("k,v\n" + "".join(f"{i},x\n" for i in range(150)) + "oops,x\n"))
+    with pytest.raises(InvalidData):
+        late.collect()
+    ragged = ctx.read_csv(put("k,v\n" + "".join(f"{i},x\n" for i in range(150)) + "7\n"))
+    with pytest.raises(InvalidData):
+        ragged.collect()
+    assert rows(ctx.read_csv(put("k,v\n"))) == []
+    lines = put('1,"a\nb"\n')
+    assert rows(ctx.read_csv(lines, CsvReadOptions().with_has_header(False).with_multi_line(True))) == [(1, "a\nb")]
