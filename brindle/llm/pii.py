@@ -266,14 +266,14 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     """
     t = F.col("__text")
     keep = [c for c in docs.columns if c != "pii"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep if c != "text"], F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep) if c != "text"], F.col("text").cast("string").alias("__text"))
     none = F.expr("CAST(array() AS array<struct<kind:string,value:string>>)")
     rows = rows.withColumn("__hits", F.when(t.rlike(HINT) & t.rlike(ANY), F.transform(matches(t, ANY), lambda m: pseudonym(key, m))).otherwise(none))
     hits = F.col("__hits")
     pieces = F.zip_with(between(t, ANY), F.transform(hits, lambda h: h["value"]), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
     rows = rows.withColumn("__new", F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(t))
     kinds = F.filter(F.transform(hits, lambda h: h["kind"]), lambda k: k.isNotNull())
-    return rows.select(*[F.col("__new").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], kinds.alias("pii"))
+    return rows.select(*[(F.col("__new") if c == "text" else F.col(f"_{i}")).alias(c) for i, c in enumerate(keep)], kinds.alias("pii"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,25 @@ def test_labels_of_held_out_rows_are_never_read(spark, sf):
     turned = labels.withColumn("quality", F.when(crf.is_held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = crf.train(docs, labels), crf.train(docs, turned)
     assert np.array_equal(a.weights, b.weights) and a.offset == b.offset
+
+
+def test_document_score_by_enumeration():
+    """The weighted mean of all lines' probabilities over every labelling, then the curve."""
+    rng = np.random.default_rng(12)
+    model = crf.Model(rng.normal(size=crf.WIDTH), rng.normal(size=(2, 2)), 1.7, -0.4, 0.25)
+    texts = ["One good line.\nTHEN A LOUD ONE!!!\n\nand | some | bars\nOne good line.", "single", "a\nb\nc\nd\ne\nf", "", "  \n\t"]
+    featured = [crf.line_features(t) for t in texts]
+    got = model.scores(featured)
+    for (x, weight), score in zip(featured, got, strict=True):
+        if not len(weight):
+            assert score == 0.25
+            continue
+        unary = crf.with_neighbours(x) @ model.weights
+        mass, good = 0.0, np.zeros(len(weight))
+        for labels in itertools.product((0, 1), repeat=len(weight)):
+            p = np.exp(sum(u for u, y in zip(unary, labels, strict=True) if y) + sum(model.join[a, b] for a, b in itertools.pairwise(labels)))
+            mass += p
+            good += p * np.array(labels)
+        mean = (good / mass * weight).sum() / weight.sum()
+        mean = min(max(mean, 1e-4), 1 - 1e-4)
+        assert score == pytest.approx(1 / (1 + np.exp(-(1.7 * np.log(mean / (1 - mean)) - 0.4))), rel=1e-6)
