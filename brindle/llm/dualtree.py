@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import discard, spread, written
 
 LEAF = 8
+#: Rows of a leaf of the queries' tree; products of more rows at once are far cheaper a pair.
+ASK_LEAF = 64
 #: Children of a node at most.
 FAN = 32
 #: Candidates of a block, about; and queries of a tree.
@@ -36,7 +38,7 @@ CELLS = 1024
 SHARE = 200_000
 #: Leaves of the first look, and leaves scored at once.
 SEEDS = 3
-AT_ONCE = 8
+AT_ONCE = 32
 #: Sums below this are whole in double precision.
 EXACT = 2.0**52
 
@@ -158,7 +160,7 @@ class Candidates:
 def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, block: Candidates, k: int, count: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query ids, candidate ids and scores of each query's k best candidates
     in the block that reach its floor. ``count`` gets the pairs scored."""
-    asks, right = CoverTree(queries.astype(float)), block.tree
+    asks, right = CoverTree(queries.astype(float), ASK_LEAF), block.tree
     whole = float(np.abs(asks.x).max(initial=0)) * block.top * max(1, queries.shape[1]) < EXACT
     exact_q, exact_c = (asks.x, right.x) if whole else (queries.astype(object), block.x.astype(object))
     best = Best(floors, k)
@@ -210,9 +212,10 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, block
             order = np.argsort(-high.max(0, initial=-np.inf), kind="stable")
             for lo in range(0, len(order), AT_ONCE):  # the most promising first; kth scores rise meanwhile
                 some = order[lo : lo + AT_ONCE]
-                some = [int(leaves[j]) for j in some if int(leaves[j]) not in looked and (high[:, j] >= best.worst[rows]).any()]
+                asking = high[:, some] >= best.worst[rows][:, None]
+                some = [(i, int(leaves[j])) for i, j in enumerate(some) if int(leaves[j]) not in looked and asking[:, i].any()]
                 if some:
-                    score(rows, some)
+                    score(rows[asking[:, [i for i, _ in some]].any(1)], [b for _, b in some])
             among = below(among[~done])
     sizes = [len(s) for s in best.scores]
     return np.repeat(query_ids, sizes), np.concatenate(best.ids), np.concatenate(best.scores)
