@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from brindle.llm import packing
@@ -86,3 +87,11 @@ def test_sequences_hold_the_tokens(odd):
 def test_cuts():
     for n in range(3000):
         assert sum(packing.cuts(n)) == n and all(0 < x <= 1024 for x in packing.cuts(n))
+
+
+def test_fast_engine_agrees_on_a_whole_corpus():
+    made, encode = Tokenizer.from_file(FILE), packing.encoder(FILE)
+    made.encode_special_tokens = True
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for text, want in zip(texts, made.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids
