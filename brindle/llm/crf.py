@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import carried, documents, mapped, runs
+from brindle.llm.common import carried, discard, documents, mapped, runs, written
 
-#: The sample: at most so many labelled documents, of at most so many lines.
+#: The sample: at most so many labelled documents, of so many lines together.
 SAMPLE = 4000
-SAMPLE_LINES = 300
+SAMPLE_LINES = 200_000
+#: Lines of a training chain: longer documents are several, one after another.
+CHAIN = 300
 RIDGE = 2.0
 STEPS = 60
 #: Documents are worked on in groups of at most so many padded lines.
@@ -215,13 +217,15 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Model:
     empty = sum(empties) / (len(empties) + 1)
     if len({labels[i] for i in used}) < 2:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))), share)
+    # a chain's first and last line still see their neighbours in the document
+    chains = [(i, at, min(at + CHAIN, len(texts[i][1]))) for i in used for at in range(0, len(texts[i][1]), CHAIN)]
     batches = []
-    for some in groups([len(texts[i][1]) for i in used]):
-        some = [used[i] for i in some]
-        for at in range(0, len(some), 250):
-            part = some[at : at + 250]
-            x = [with_neighbours(texts[i][0]).astype(float) for i in part]
-            batches.append((np.concatenate(x), [len(v) for v in x], np.array([labels[i] for i in part])))
+    for some in groups([stop - at for _, at, stop in chains]):
+        for first in range(0, len(some), 250):
+            part = [chains[c] for c in some[first : first + 250]]
+            near = {i: with_neighbours(texts[i][0]) for i, _, _ in part}
+            x = [near[i][at:stop].astype(float) for i, at, stop in part]
+            batches.append((np.concatenate(x), [len(v) for v in x], np.array([labels[i] for i, _, _ in part])))
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, join = theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
@@ -259,24 +263,40 @@ def featured(batch: pa.RecordBatch, column: int) -> list[tuple[np.ndarray, np.nd
     return [line_features(t.as_py()) for t in batch.column(column)]
 
 
+def filled(lines: list[tuple[int, int]], most: int) -> list[int]:
+    """Ids of (id, lines) taken in order while they fit into ``most`` lines
+    together; one that doesn't fit is passed over, and those after it are tried."""
+    out, total = [], 0
+    for doc, n in lines:
+        if total + n <= most:
+            out.append(doc)
+            total += n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model:
-    """Fit on at most ``sample`` labelled rows, picked by a hash of their id
-    among those that aren't held out, whose texts have at most
-    ``sample_lines`` lines. Rows labelled other than 0 or 1 don't count."""
+    """Fit on labelled rows that aren't held out, in the order of a hash of
+    their id: at most ``sample`` of them, of at most ``sample_lines`` lines
+    together. Rows labelled other than 0 or 1 don't count; an id labelled both
+    ways is a bad one; of several texts of one id the smallest counts, so rows
+    that share an id don't add up."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     picked = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    chosen = written(chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "crf-sample")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = chosen.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    some = chosen.where(F.col("doc_id").isin(filled([(r["doc_id"], r["n"]) for r in sizes], sample_lines))).select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, 2):
             found = featured(batch, 2)
-            keep = pa.array([len(w) <= sample_lines for _, w in found], pa.bool_())
-            made = [batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([w.astype(np.float64).tobytes() for _, w in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in made], ["doc_id", "quality", "x", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([w.astype(np.float64).tobytes() for _, w in found], pa.binary())], ["doc_id", "quality", "x", "w"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary, w binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    rows = some.mapInArrow(run, "doc_id long, quality int, x binary, w binary").collect()
+    discard(chosen)
+    rows.sort(key=lambda r: r["doc_id"])
     texts = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)), np.frombuffer(r["w"], np.float64)) for r in rows]
     return fit(texts, [r["quality"] for r in rows])
 

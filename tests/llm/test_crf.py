@@ -55,6 +55,33 @@ def test_labels_of_held_out_rows_are_never_read(spark, sf):
     assert np.array_equal(a.weights, b.weights) and a.offset == b.offset
 
 
+def test_sample_is_bounded_by_lines_and_by_ids(spark):
+    """Long documents take part; rows that share an id come to the driver once."""
+    assert crf.filled([(1, 5), (2, 9), (3, 4), (4, 1)], 10) == [1, 3, 4]
+    good, bad = "A plain sentence of words here.", "BUY NOW!!! $$$ | $$$"
+    texts = {i: "\n".join([good if i % 2 else bad] * 700) for i in range(12)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    rows = [*texts.items()] + [(1, texts[1])] * 500 + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    model, same = crf.train(docs, labels), crf.train(once, labels)
+    assert np.array_equal(model.weights, same.weights) and (model.slope, model.offset) == (same.slope, same.offset)
+    found = model.scores([crf.line_features(texts[1]), crf.line_features(texts[0])])
+    assert found[0] > 0.7 > 0.3 > found[1]
+    few = crf.train(docs, labels, sample_lines=1400)
+    assert few.slope != model.slope
+
+
+def test_chains_of_long_documents_keep_their_neighbours(monkeypatch):
+    """One line short of a chain or several chains: the objective sees all lines."""
+    rng = np.random.default_rng(4)
+    texts = [crf.line_features("\n".join(rng.choice(["One good line.", "LOUD!!!", "a | b | c"], size=n, p=p))) for n, p in ((40, (0.8, 0.1, 0.1)), (35, (0.2, 0.4, 0.4)), (1, (1, 0, 0)), (20, (0.1, 0.5, 0.4)))]
+    whole = crf.fit(texts, [1, 0, 1, 0])
+    monkeypatch.setattr(crf, "CHAIN", 7)
+    cut = crf.fit(texts, [1, 0, 1, 0])
+    assert np.abs(whole.scores(texts) - cut.scores(texts)).max() < 0.1
+
+
 def test_document_score_by_enumeration():
     """The weighted mean of all lines' probabilities over every labelling, then the curve."""
     rng = np.random.default_rng(12)
