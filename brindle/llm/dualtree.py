@@ -339,7 +339,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     pivots: dict[int, np.ndarray] = {}
     for w in {len(r["v"]) for r in picked}:
         pivots[w] = np.unique(np.array([r["v"] for r in picked if len(r["v"]) == w], float), axis=0) if w else np.zeros((1, 0))
-    placed = written(in_cells(rows, pivots), "top-placed")
+    # a row's number parts the rows of a large cell, also those of one id; it settles no result
+    placed = written(in_cells(rows, pivots).withColumn("row", F.monotonically_increasing_id()), "top-placed")
     discard(rows)
     measures = placed.groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away"), F.max("turn").alias("turn"), F.min("norm").alias("least"), F.max("norm").alias("most"))
     # at most CELLS cells have a pivot, and one a width has none
@@ -358,7 +359,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     def ask(queries: DataFrame) -> DataFrame:
         """FOUND for queries (vec_id, v, width, cell, floor) in their cells."""
         every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-        candidates = placed.join(subs, ["width", "cell"]).select("width", "cell", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int").alias("sub"), every(F.lit(shares)).alias("turn_of"))
+        candidates = placed.join(subs, ["width", "cell"]).select("width", "cell", "vec_id", "v", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int").alias("sub"), every(F.lit(shares)).alias("turn_of"))
         come = queries.join(subs, ["width", "cell"]).select("width", "cell", "vec_id", "v", "floor", spread([F.col("vec_id"), F.lit(7)], shares).alias("turn_of"), every(F.col("subs")).alias("sub"))
         both = candidates.select("width", number.alias("block"), F.lit(False).alias("asks"), "vec_id", F.lit(None).cast("double").alias("floor"), "v").unionAll(come.select("width", number.alias("block"), F.lit(True).alias("asks"), "vec_id", "floor", "v"))
         return answered(both, k)

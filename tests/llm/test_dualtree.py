@@ -84,6 +84,17 @@ def test_cells_split_and_queries_shared(spark):
     assert found(dualtree.top_k(df, F.col("vec_id") % 100 == 0, block=50, share=2).where("query_id <> 100")) == [r for r in slow([(i, v) for i, v in vectors]) if r[0] != 100]
 
 
+def test_rows_of_one_id_are_parted(spark):
+    """A third of all rows has one id: no block's task gets all of them."""
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(v) for v in c]) for i, c in enumerate(rng.normal(size=(600, 5)))] + [(777, [2.0] * 5)] * 300
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = dualtree.top_k(df, F.col("vec_id") % 100 == 0, block=60)
+    assert found(got) == slow(vectors)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(row" in plan
+
+
 @pytest.mark.parametrize("leaf", [1, 4, 64])
 def test_tree_covers(leaf):
     x = np.random.default_rng(2).normal(size=(500, 5))
